@@ -31,16 +31,16 @@ WITH first AS (
   UNION ALL
   SELECT {video_key_sql('video_id')}, strftime(computed_at, '%Y-%m-%d'), 'hold_time', hold_time FROM first
 ), ranked AS (
-  SELECT {{keys}}, value, row_number() OVER (PARTITION BY {{keys}} ORDER BY value) AS r, count(*) OVER (PARTITION BY {{keys}}) AS n
-  FROM gestures WHERE value IS NOT NULL AND isfinite(value) {{where}}
+  SELECT <keys>, value, row_number() OVER (PARTITION BY <keys> ORDER BY value) AS r, count(*) OVER (PARTITION BY <keys>) AS n
+  FROM gestures WHERE value IS NOT NULL AND isfinite(value) <where>
 )
-SELECT {{keys}}, max(n) AS n, {{probs}} FROM ranked GROUP BY {{keys}}
+SELECT <keys>, max(n) AS n, <probs> FROM ranked GROUP BY <keys>
 """
 
 
 def _percentiles(keys: str, where: str) -> str:
     probs = ", ".join(f"min(CASE WHEN r >= greatest(ceil(n * {p}::DOUBLE - 1e-9), 1) THEN value END) AS p{round(p * 100)}" for p in (0.05, 0.25, 0.5, 0.75, 0.95))
-    return _GESTURES.format(keys=keys, where=where, probs=probs)
+    return _GESTURES.replace("<keys>", keys).replace("<where>", where).replace("<probs>", probs)
 
 
 def oracle_sql() -> dict[str, str]:
