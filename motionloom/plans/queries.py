@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionloom.operators.outliers import implausible_arm, implausible_peaks
+from motionloom.plans import frames, segments, tables
+from motionloom.plans.base import Query, Registry
 from motionloom.runtime import table
 
+R = Registry()
+
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+@R.add("p3_found")
+def p3_found(spark, d):
     arm = implausible_arm(table(spark, d, "arm_kinematics"))
     peaks = implausible_peaks(table(spark, d, "kinematic_features"))
     return (
@@ -21,9 +23,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+_PARTS = [segments.R, frames.R, tables.R, R]
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for part in _PARTS for name, f in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.sql.items()}
