@@ -30,22 +30,25 @@ class SpikeRule:
     """Parameters of the spike test.
 
     sparse: smallest sparse part, as a factor; above: how far over the source's ``level``
-    quantile a spike lies, as a factor; alone: the same over its 0.9 quantile where a reading has no sibling
-    measures to be compared with; rank: components of normal behaviour.
+    quantile a spike lies, as a factor; alone: the same over its 0.9 quantile where the
+    reading's sibling measures are as high as itself or missing, that quantile counting for no
+    more than ``spread`` times the 0.75 quantile, lest spikes raise it; rank: components of normal behaviour.
     """
 
     sparse: float = 1.8
     level: float = 0.9
     above: float = 4.5
-    alone: float = 3.0
+    alone: float = 3.4
+    spread: float = 4.0
     rank: int = 2
     zero_is_possible: bool = True
 
 
-def low_rank_and_sparse(m: np.ndarray, known: np.ndarray, rank: int, floor: float, rounds: int = 8) -> np.ndarray:
-    """The sparse part of ``m``: what a low-rank matrix plus column centres leaves over, where it exceeds ``floor``.
+def low_rank_and_sparse(m: np.ndarray, known: np.ndarray, rank: int, floor: float, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse part of ``m``, and how far its first column lies above what the other columns alone tell.
 
-    Unknown cells are filled by the current low-rank estimate and never sparse.
+    Sparse is what a low-rank matrix plus column centres leaves over, where it exceeds
+    ``floor``. Unknown cells are filled by the current low-rank estimate and never sparse.
     """
     centre = np.nanmedian(np.where(known, m, np.nan), axis=0)
     centre = np.where(np.isfinite(centre), centre, 0.0)
@@ -62,7 +65,10 @@ def low_rank_and_sparse(m: np.ndarray, known: np.ndarray, rank: int, floor: floa
         low = clean @ basis @ basis.T
         rest = x - low
         sparse = np.where(known & (rest > floor), rest, 0.0)
-    return sparse
+    lead = basis[:, -1]
+    weight = np.where(known[:, 1:], lead[1:] ** 2, 0.0).sum(axis=1)
+    score = np.where(known[:, 1:], x[:, 1:] * lead[1:], 0.0).sum(axis=1) / np.maximum(weight, 1e-9)
+    return sparse, np.where(weight > 0, x[:, 0] - score * lead[0], 0.0)
 
 
 def decimals(v: np.ndarray) -> np.ndarray:
@@ -133,15 +139,18 @@ def _flag(table: pa.Table, keys: int, fields: Sequence[str], siblings: Sequence[
             with np.errstate(all="ignore"):
                 m = np.stack([np.log(column[c]) for c in names], axis=1)[at]
             seen = np.isfinite(m)
-            support = seen[:, 1:].sum(axis=1)
-            rest = low_rank_and_sparse(np.where(seen, m, 0.0), seen, min(rule.rank, len(names) - 1), np.log(rule.sparse))[:, 0]
+            floor = np.log(rule.sparse)
+            sparse, beyond = low_rank_and_sparse(np.where(seen, m, 0.0), seen, min(rule.rank, len(names) - 1), floor)
+            # Where the sibling measures went along, only the source's own level can tell.
+            support = (beyond > floor).astype(int)
+            rest = np.maximum(sparse[:, 0], np.where(support > 0, beyond, 0.0))
         else:
             width = min(_WIDTH, max(2, len(at) // 4))
             rows = -(-len(at) // width)
             flat = np.zeros(rows * width)
             seen = np.zeros(rows * width, dtype=bool)
             flat[: len(at)], seen[: len(at)] = np.log(v[at]), True
-            rest = low_rank_and_sparse(flat.reshape(rows, width), seen.reshape(rows, width), min(rule.rank, width - 1), np.log(rule.sparse)).ravel()[: len(at)]
+            rest = low_rank_and_sparse(flat.reshape(rows, width), seen.reshape(rows, width), min(rule.rank, width - 1), np.log(rule.sparse))[0].ravel()[: len(at)]
             support = np.ones(len(at), dtype=int)
         odd = np.flatnonzero(rest > 0)
         put(1, at[odd], field, support[odd], np.zeros(len(odd), int), np.zeros(len(odd), int), 0)
@@ -222,13 +231,15 @@ def implausible(
     usual = (
         long.where((F.col("v") > 0) & ~F.isnan("v") & (F.col("v") < float("inf")))
         .groupBy(*keys, "field")
-        .agg(F.percentile_approx("v", F.array(F.lit(rule.level), F.lit(0.9)), 1000).alias("q"))
+        .agg(F.percentile_approx("v", F.array(F.lit(rule.level), F.lit(0.75), F.lit(0.9)), 1000).alias("q"))
         .withColumnsRenamed({k: f"u_{k}" for k in keys} | {"field": "u_field"})
     )
     same = F.col("field") == F.col("u_field")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"u_{k}"))
-    over = F.when(F.col("support") > 0, F.col("value") > rule.above * F.col("q")[0]).otherwise(F.col("value") > rule.alone * F.col("q")[1])
+    over = F.when(F.col("support") > 0, F.col("value") > rule.above * F.col("q")[0]).otherwise(
+        F.col("value") > rule.alone * F.least(F.col("q")[2], rule.spread * F.col("q")[1])
+    )
     spikes = found.where("what = 1").join(usual, same).where(over).select("row_id", "field")
     return certain.unionByName(edges).unionByName(spikes).distinct()
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionloom.operators.sliced import SLICE, cut_by, running_sum, with_neighbours
-from motionloom.runtime import finite
+from motionloom.operators.sliced import SLICE, chains, cut_by, running_sum
+from motionloom.runtime import cut, finite
 
 REST = "NoGesture"
 
@@ -57,34 +57,48 @@ def _frames(df: DataFrame, track: str, time: str, label: str, tie: str, slice_s:
 
 def _runs(df: DataFrame, track: str, time: str, label: str, tie: str, slice_s: float) -> DataFrame:
     """track_id, start_time, end_time, label of each run of active frames; it ends with the first frame after it."""
-    rows = with_neighbours(
-        _frames(df, track, time, label, tie, slice_s), ["track_id"], ["time", "tie"], {"was": F.col("active")}, {"next_time": F.col("time")}
+    rows = _frames(df, track, time, label, tie, slice_s)
+    gesture = (F.col("label") == "Gesture") & F.col("active")
+    runs = chains(
+        rows,
+        ["track_id"],
+        ["time", "tie"],
+        lambda before, here: before("active") == here("active"),
+        ["active"],
+        {
+            "active": (F.col("active"), F.max),
+            "n_gesture": (F.when(gesture, 1).otherwise(0), F.sum),
+            "n_other": (F.when(F.col("active") & ~gesture, 1).otherwise(0), F.sum),
+            "other": (F.when(F.col("active") & ~gesture, F.col("label")), F.max),
+        },
+        after="time",
     )
-    begins = F.col("active") & ~F.coalesce("was", F.lit(False))
-    rows = running_sum(rows, ["track_id"], ["time", "tie"], begins.cast("long"), "run").where("active")
     # Only Gesture and Move can win; the frame after the run never does. A tie goes to the smaller name.
-    return rows.groupBy("track_id", "run").agg(
-        F.min("time").alias("start_time"),
-        F.max_by(F.coalesce("next_time", "time"), F.struct("time", "tie")).alias("end_time"),
-        F.when(F.count(F.when(F.col("label") == "Gesture", 1)) >= F.count(F.when(F.col("label") != "Gesture", 1)), F.lit("Gesture"))
-        .otherwise(F.max(F.when(F.col("label") != "Gesture", F.col("label"))))
-        .alias("label"),
-        F.min("run").alias("order"),
+    return runs.where("active").select(
+        "track_id",
+        F.col("first.time").alias("start_time"),
+        F.coalesce("after", F.col("last.time")).alias("end_time"),
+        F.when(F.col("n_gesture") >= F.col("n_other"), F.lit("Gesture")).otherwise(F.col("other")).alias("label"),
+        F.col("first.tie").alias("tie"),
     )
 
 
-def _merge(runs: DataFrame, same_label: bool, min_gap_s: float, slice_s: float, extra: list[Column]) -> DataFrame:
+def _merge(runs: DataFrame, same_label: bool, min_gap_s: float, slice_s: float, extra: dict) -> DataFrame:
     """Neighbouring runs of a track joined where the gap allows it."""
-    rows = with_neighbours(
-        cut_by(runs, "start_time", slice_s), ["track_id"], ["start_time", "order"], {"prev_end": F.col("end_time"), "prev_label": F.col("label")}
-    )
-    near = F.coalesce(F.col("start_time") - F.col("prev_end") <= min_gap_s, F.lit(False))
-    if same_label:
-        near = near & F.coalesce(F.col("label") == F.col("prev_label"), F.lit(False))
-    rows = running_sum(rows, ["track_id"], ["start_time", "order"], (~near).cast("long"), "island")
-    return rows.groupBy("track_id", "island").agg(
-        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.min_by("label", "start_time").alias("label"), *extra
+
+    def near(before, here) -> Column:
+        close = here("start_time") - before("end_time") <= min_gap_s
+        return close & (here("label") == before("label")) if same_label else close
+
+    merged = chains(
+        cut_by(runs, "start_time", slice_s),
+        ["track_id"],
+        ["start_time", "tie"],
+        near,
+        ["start_time", "end_time", "label"],
+        {"end_time": (F.col("end_time"), F.max), "label": (F.col("label"), F.min), **extra},
     )
+    return merged.withColumn("start_time", F.col("first.start_time"))
 
 
 def create_segments(
@@ -105,9 +119,10 @@ def create_segments(
     are dropped and the rest numbered from 1 per track. Frames without track or time are left
     out, a null label counts as NoGesture, ``tie`` orders frames of equal time. The result is typed even when empty.
     """
-    merged = _merge(_runs(df, track, time, label, tie, slice_s), True, min_gap_s, slice_s, [])
-    kept = merged.withColumn("duration", F.col("end_time") - F.col("start_time")).where(F.col("duration") >= min_length_s)
-    return running_sum(cut_by(kept, "start_time", slice_s), ["track_id"], ["start_time"], F.lit(1), "labelid").select(
+    merged = _merge(_runs(df, track, time, label, tie, slice_s), True, min_gap_s, slice_s, {})
+    kept = merged.select("track_id", "start_time", "end_time", "label", (F.col("end_time") - F.col("start_time")).alias("duration")).where(F.col("duration") >= min_length_s)
+    # Numbering reads its input twice; the segments, far fewer than frames, are written once for it.
+    return running_sum(cut_by(cut(kept), "start_time", slice_s), ["track_id"], ["start_time"], F.lit(1), "labelid").select(
         "track_id", "start_time", "end_time", "labelid", "label", "duration"
     )
 
@@ -125,8 +140,8 @@ def create_session_segments(
 ) -> DataFrame:
     """The realtime form: short runs go before merging, numbers are given before merging (so they have holes), every label is Gesture."""
     runs = _runs(df, track, time, label, tie, slice_s).where(F.col("end_time") - F.col("start_time") >= min_length_s)
-    numbered = running_sum(cut_by(runs, "start_time", slice_s), ["track_id"], ["start_time"], F.lit(1), "labelid").drop(SLICE)
-    merged = _merge(numbered, False, min_gap_s, slice_s, [F.min("labelid").alias("labelid")])
+    numbered = running_sum(cut_by(cut(runs), "start_time", slice_s), ["track_id"], ["start_time"], F.lit(1), "labelid").drop(SLICE)
+    merged = _merge(numbered, False, min_gap_s, slice_s, {"labelid": (F.col("labelid"), F.min)})
     return merged.select("track_id", "start_time", "end_time", "labelid", F.lit("Gesture").alias("label"), (F.col("end_time") - F.col("start_time")).alias("duration"))
 
 

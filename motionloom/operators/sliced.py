@@ -6,7 +6,7 @@ is an ordinary window; what crosses a border comes from one summary row per slic
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +69,61 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: C
     return _join(df.withColumn(name, F.sum(value).over(here)), offset, by).withColumn(name, F.col(name) + F.col("_offset")).drop("_offset")
 
 
+def chains(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    uses: Sequence[str],
+    aggregates: Mapping[str, tuple[Column, Callable[[Column], Column]]],
+    after: str | None = None,
+) -> DataFrame:
+    """One row per chain of successive rows of an entity that are linked pair by pair.
+
+    ``link(before, here)`` says whether a row is linked to the one before it; both arguments
+    give a column of ``uses`` of the respective row. ``aggregates``: name to (expression over
+    a row, function that merges it over rows). Adds ``first`` and ``last`` (structs of ``order``)
+    and, for ``after``, the value of that column in the first row after the chain (null at the entity's end).
+
+    Chains inside a slice are whole after one pass; only the outermost chains of each slice
+    meet in a second pass over the entity, so the plan is linear and no task holds an entity.
+    """
+    here = Window.partitionBy(*by, SLICE).orderBy(*order)
+    rows = df.withColumns({f"_b_{c}": F.lag(c).over(here) for c in uses} | {"_rn": F.row_number().over(here), "_more": F.lead(F.lit(1)).over(here)})
+    if after:
+        rows = rows.withColumn("_next", F.lead(after).over(here))
+    linked = (F.col("_rn") > 1) & F.coalesce(link(lambda c: F.col(f"_b_{c}"), F.col), F.lit(False))
+    rows = rows.withColumn("_chain", F.sum((~linked).cast("int")).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    key = F.struct(*order)
+    used = F.struct(*uses)
+    tell = [
+        F.min(key).alias("first"),
+        F.max(key).alias("last"),
+        F.min_by(used, "_rn").alias("_head"),
+        F.max_by(used, "_rn").alias("_tail"),
+        (F.min("_rn") == 1).alias("_opens"),
+        F.max(F.col("_more").isNull()).alias("_closes"),
+        F.min("_rn").alias("_rn"),
+        *[merge(expr).alias("_v_" + n) for n, (expr, merge) in aggregates.items()],
+    ]
+    if after:
+        tell += [F.max_by("_next", "_rn").alias("_next"), F.min_by(after, "_rn").alias("_begin")]
+    pieces = rows.groupBy(*by, SLICE, "_chain").agg(*tell)
+    pieces = pieces.withColumn("_lane", F.when(F.col("_opens") | F.col("_closes"), F.lit(None)).otherwise(F.col(SLICE)))
+    across = Window.partitionBy(*by, "_lane").orderBy(SLICE, "_rn")
+    before = F.lag("_tail").over(across)
+    joined = F.col("_opens") & F.lag("_closes").over(across) & link(lambda c: before[c], lambda c: F.col(f"_head.{c}"))
+    pieces = pieces.withColumn("_starts", (~F.coalesce(joined, F.lit(False))).cast("int"))
+    if after:
+        border = F.when(F.col("_closes") & F.lead("_opens").over(across), F.lead("_begin").over(across))
+        pieces = pieces.withColumn("_next", F.coalesce("_next", border))
+    pieces = pieces.withColumn("_whole", F.sum("_starts").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    out = [F.min("first").alias("first"), F.max("last").alias("last"), *[merge(F.col("_v_" + n)).alias(n) for n, (_, merge) in aggregates.items()]]
+    if after:
+        out.append(F.max_by("_next", F.struct(SLICE, "_rn")).alias("after"))
+    return pieces.groupBy(*by, "_lane", "_whole").agg(*out).drop("_lane", "_whole")
+
+
 def with_halo(df: DataFrame, index: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
     """Each row in its slice of ``size`` gap-free indices, and again, marked ``halo``, where a neighbour's window needs it.
 
