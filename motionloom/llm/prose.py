@@ -182,6 +182,11 @@ def language_share(text: str) -> tuple[int, int]:
                 good += close()
                 block = []
             else:
+                # Prose above or below an enumeration is judged by itself.
+                marked = bool(_BULLET.match(piece))
+                if block and marked != bool(_BULLET.match(block[-1])):
+                    good += close()
+                    block = []
                 block.append(piece)
                 if sum(map(len, block)) > _PIECE:
                     good += close()

@@ -1,9 +1,9 @@
 """Per-document text figures, and which documents are not prose.
 
 Method: documents longer than a bound are cut into chunks at line ends or white space and
-spread over the cluster; every chunk gives additive counts, with two flags that tell
-whether a word or a line goes on across its edge; the counts are summed per document
-through partial aggregation, corrected by the flags, and turned into ratios and rules.
+spread over the cluster; every chunk gives additive counts, corrected by the state at
+its edges (a word or a line that goes on across an edge counts once); the counts are summed
+per document through partial aggregation and turned into ratios and rules.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from motionloom.llm import prose
 
 CHUNK = 60_000
+EDGE = 200
 _COUNTS = ("n_chars", "n_dense", "n_words", "word_chars", "n_common", "n_symbols", "n_digits", "n_lines", "n_ended", "n_bullets", "n_running")
 
 
@@ -33,18 +34,18 @@ def split_points(text: str, size: int = CHUNK) -> list[tuple[int, int]]:
 
 
 def chunk_counts(text: str, before: str = "", after: str = "") -> list[int]:
-    """Additive counts of a chunk; ``before`` and ``after`` are the characters next to it."""
+    """Additive counts of a chunk; ``before`` and ``after`` are the ``EDGE`` characters on either side of it."""
     words = prose._WORD.findall(text)
     word_chars = sum(map(len, words))
     lines = [x for x in prose._NEWLINE.split(text) if x.strip()]
     n_words, n_lines = len(words), len(lines)
     # A word or line that began in the chunk before counts there, not here.
-    if before.isalpha() and text[:1].isalpha():
+    if before[-1:].isalpha() and text[:1].isalpha():
         n_words -= 1
-    if before and before not in "\r\n\x0b\x0c\x85" and lines and text.lstrip(" \t")[:1] not in ("\n", "\r"):
+    if prose._NEWLINE.split(before)[-1].strip() and prose._NEWLINE.split(text)[0].strip():
         n_lines -= 1
     ended = [bool(prose._END.search(x)) for x in lines]
-    if after and lines and not text.endswith(("\n", "\r")):
+    if prose._NEWLINE.split(text)[-1].strip() and prose._NEWLINE.split(after)[0].strip():
         ended.pop()  # its end comes in the next chunk
     good, dense = prose.language_share(text)
     symbols = sum(not c.isalnum() and not c.isspace() for c in text)
@@ -74,8 +75,8 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         "doc": [doc] * len(some),
                         "part": range(k, k + len(some)),
                         "text": [text[a:b] for a, b in some],
-                        "before": [text[a - 1 : a] for a, _ in some],
-                        "after": [text[b : b + 1] for _, b in some],
+                        "before": [text[max(0, a - EDGE) : a] for a, _ in some],
+                        "after": [text[b : b + EDGE] for _, b in some],
                     }
                 )
 
