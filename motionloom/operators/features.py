@@ -58,6 +58,22 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def pixel_scaled(x: Column, y: Column, z: Column, width: int, height: int, depth: float = 3000.0) -> tuple[Column, Column, Column]:
+    """A landmark in pixels; the depth of the nose has a scale of its own."""
+    return x * width, y * height, z * depth
+
+
+# Face mesh points whose distances describe brows, mouth width and mouth opening, and the two that give the head size.
+FACE_PAIRS = {"left_brow_left_eye": (33, 225), "right_brow_right_eye": (263, 295), "mouth_corners": (61, 291), "mouth_apperture": (13, 14)}
+HEAD_POINTS = (152, 10)
+
+
+def paired_distances(pairs: dict[str, tuple], norm: Column) -> dict[str, Column]:
+    """Plane distance of each pair of points (columns ``<point>_x``, ``<point>_y``) in units of ``norm``, 0.0 where it can't be told."""
+    size = F.when(norm != 0, norm)
+    return {n: normalised(distance(F.col(f"{a}_x"), F.col(f"{a}_y"), F.col(f"{b}_x"), F.col(f"{b}_y")), size) for n, (a, b) in pairs.items()}
+
+
 def normalised(value: Column, norm: Column) -> Column:
     """A distance in units of the head size; 0.0 where either is missing."""
     return F.coalesce(F.try_divide(value, norm), F.lit(0.0))
@@ -166,14 +182,30 @@ def decimated(frame: Column, fps: Column, target: float = 25.0) -> Column:
     return F.pmod(frame, step) == 0
 
 
-def fill_nearest(df: DataFrame, by: Sequence[str], index: str, value: str) -> DataFrame:
-    """Missing values take that of the nearest frame that has one, of two equally near the earlier."""
-    back = Window.partitionBy(*by).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(index).rowsBetween(0, Window.unboundedFollowing)
+def fill_nearest(df: DataFrame, by: Sequence[str], index: str, value: str, size: int = SIZE) -> DataFrame:
+    """Missing values take that of the nearest frame that has one, of two equally near the earlier; all stay null where none has.
+
+    What a slice of frames can't find inside comes from one summary row per slice.
+    """
+    rows = df.withColumn(SLICE, F.floor(F.col(index) / size))
+    here = Window.partitionBy(*by, SLICE).orderBy(index)
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col(index).alias("i"), F.col(value).alias("v")))
-    both = df.withColumn("_b", F.last(seen, ignorenulls=True).over(back)).withColumn("_a", F.first(seen, ignorenulls=True).over(ahead))
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*by, SLICE).agg(F.min(F.struct(F.col(index).alias("i"), F.col(value).alias("v"))).alias("lo"), F.max(F.struct(F.col(index).alias("i"), F.col(value).alias("v"))).alias("hi"))
+    slices = rows.select(*by, SLICE).distinct().join(ends, [*by, SLICE], "left")
+    across = Window.partitionBy(*by).orderBy(SLICE)
+    carried = slices.select(
+        *by,
+        SLICE,
+        F.last("hi", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_hi"),
+        F.first("lo", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_lo"),
+    )
+    both = rows.withColumn("_b", F.last(seen, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_a", F.first(seen, ignorenulls=True).over(here.rowsBetween(0, Window.unboundedFollowing))
+    )
+    both = both.join(carried, [*by, SLICE], "left").withColumns({"_b": F.coalesce("_b", "_hi"), "_a": F.coalesce("_a", "_lo")})
     earlier = F.col("_a").isNull() | (F.col(index) - F.col("_b.i") <= F.col("_a.i") - F.col(index))
-    return both.withColumn(value, F.when(earlier & F.col("_b").isNotNull(), F.col("_b.v")).otherwise(F.col("_a.v"))).drop("_b", "_a")
+    filled = F.when(earlier & F.col("_b").isNotNull(), F.col("_b.v")).otherwise(F.col("_a.v"))
+    return both.withColumn(value, filled).select(*df.columns)
 
 
 # The three-point mixing that a Gaussian of width 1 gives over x, y, z with mirrored ends.

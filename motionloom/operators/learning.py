@@ -184,6 +184,11 @@ def score_windows(df: DataFrame, window: str, weights: Mapping[str, np.ndarray])
     return df.withColumn("_s", score(F.col(window))).select(*df.columns, "_s.*")
 
 
+def sampled(df: DataFrame, label: str, shares: Mapping[str, float], seed: int = 42) -> DataFrame:
+    """A random share of each class; a sampling operator, so leaving rows out is its purpose."""
+    return df.sampleBy(label, dict(shares), seed)
+
+
 def augmented(df: DataFrame, vector: str, seed: int = 42, noise: float = 0.008, low: float = 0.97, high: float = 1.03) -> DataFrame:
     """Two derived copies of each row besides the row itself: with noise, and scaled. Random, but the same for a seed and partitioning."""
     plain = df.withColumn("kind", F.lit("original"))

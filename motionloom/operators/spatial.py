@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionloom.operators.features import bounded
+from motionloom.operators.sliced import chains, cut_by
 
 POINTS = ("left_hand", "right_hand", "left_elbow", "right_elbow", "left_shoulder", "right_shoulder", "neck", "hip", "left_eye", "right_eye", "nose")
 VISIBLE = 0.5
@@ -172,8 +173,9 @@ def holds(
     for j in joints:
         still = still & (F.col(f"{j}_step") * fps < pause)
     paused = steps.where(still).select(*by, (F.col(index) - 1).alias("step"))
-    w = Window.partitionBy(*by).orderBy("step")
-    islands = paused.withColumn("island", F.col("step") - F.row_number().over(w)).groupBy(*by, "island").agg(F.min("step").alias("begin"), F.count(F.lit(1)).alias("n"))
+    islands = chains(
+        cut_by(paused, "step", 4096), by, ["step"], lambda before, here: here("step") == before("step") + 1, ["step"], {"n": (F.lit(1), F.sum)}
+    ).withColumn("begin", F.col("first.step"))
     if first_peak is not None:
         islands = islands.join(first_peak, list(by), "left").where(F.col("peak").isNull() | (F.col("begin") >= F.col("peak")))
     counted = islands.where(F.col("n") >= shortest).groupBy(*by).agg(F.count(F.lit(1)).alias("hold_count"), F.sum("n").alias("frames"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionloom.functions.keys import dataset_key, dataset_key_sql, video_key, video_key_sql
@@ -61,10 +61,10 @@ _EM = [f"{j}_{a}" for j in (*POINTS, *_FINGERS) for a in "xyz"]
 def frames_em(spark: SparkSession, d: str) -> DataFrame:
     """Landmark frames made of the embeddings: 17 points, wrist visibilities, one track per label."""
     e = lambda k: F.get("embedding", F.lit(k)).cast("double")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, d, "embeddings").select(
+    numbered = running_sum(cut_by(table(spark, d, "embeddings"), "vec_id", 1 << 16), ["label"], ["vec_id"], F.lit(1), "n")
+    return numbered.select(
         F.col("label").alias("track"),
-        (F.row_number().over(w) - 1).cast("long").alias("frame_idx"),
+        (F.col("n") - 1).alias("frame_idx"),
         *[e(k).alias(c) for k, c in enumerate(_EM)],
         F.abs(e(51)).alias("left_vis"),
         F.abs(e(52)).alias("right_vis"),

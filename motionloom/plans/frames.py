@@ -31,7 +31,7 @@ def _norm(parts):
     return "sqrt(" + " + ".join(f"({p}) * ({p})" for p in parts) + ")"
 
 
-@R.add("p8_key_joints", f"{TR} SELECT {KEY}, round({' + '.join(f'{k + 1} * {_jt(j, a)}' for k, (j, a) in enumerate((j, a) for j in X.KEY_JOINTS for a in range(3)))}, 6) AS weighted FROM frames_tr")
+@R.add("op_p8_key_joints", f"{TR} SELECT {KEY}, round({' + '.join(f'{k + 1} * {_jt(j, a)}' for k, (j, a) in enumerate((j, a) for j in X.KEY_JOINTS for a in range(3)))}, 6) AS weighted FROM frames_tr")
 def p8_key_joints(spark, d):
     v = X.key_joints(F.col("lm"))
     total = F.aggregate(F.zip_with(v, F.sequence(F.lit(1), F.lit(18)), lambda a, k: a * k), F.lit(0.0), lambda s, x: s + x)
@@ -41,7 +41,7 @@ def p8_key_joints(spark, d):
 _FV = {s: [[f"({_jt(j, a)} - {_jt(w, a)})" for a in range(3)] for j in tips] for s, (tips, w) in X.FINGERS.items()}
 
 
-@R.add("p9_fingers", f"{TR} SELECT {KEY}, round({_FV['left'][0][0]}, 6) AS left_pinky_x, round({_FV['right'][2][2]}, 6) AS right_thumb_z FROM frames_tr")
+@R.add("op_p9_fingers", f"{TR} SELECT {KEY}, round({_FV['left'][0][0]}, 6) AS left_pinky_x, round({_FV['right'][2][2]}, 6) AS right_thumb_z FROM frames_tr")
 def p9_fingers(spark, d):
     f = frames_tr(spark, d)
     return f.select(*BY, "frame_idx", _r(F.get(X.finger_vector(F.col("lm"), "left"), F.lit(0)), "left_pinky_x"), _r(F.get(X.finger_vector(F.col("lm"), "right"), F.lit(8)), "right_thumb_z"))
@@ -53,7 +53,7 @@ def _shape_sql(side):
     return [f"CASE WHEN {seen} THEN {_norm([f'{x} - {y}' for x, y in zip(v[a], v[b])])} ELSE 0 END" for a, b in ((0, 2), (1, 2), (0, 1))]
 
 
-@R.add("p10_finger_shape", f"{TR} SELECT {KEY}, {', '.join(f'round({e}, 6) AS d{k}' for k, e in enumerate(_shape_sql('left') + _shape_sql('right')))} FROM frames_tr")
+@R.add("op_p10_finger_shape", f"{TR} SELECT {KEY}, {', '.join(f'round({e}, 6) AS d{k}' for k, e in enumerate(_shape_sql('left') + _shape_sql('right')))} FROM frames_tr")
 def p10_finger_shape(spark, d):
     shape = X.finger_shape(X.finger_vector(F.col("lm"), "left"), X.finger_vector(F.col("lm"), "right"))
     f = frames_tr(spark, d).withColumn("s", shape)
@@ -183,10 +183,25 @@ def w7_smooth_over_time(spark, d):
     return smooth_over_time(frames_em(spark, d), ["track"], ["nose_x", "nose_y"])
 
 
+@R.add("op_p1_pixels", f"{EM} SELECT track, frame_idx, round(nose_x * 640, 6) AS x, round(nose_y * 480, 6) AS y, round(nose_z * 3000, 6) AS z FROM frames_em")
+def p1_pixels(spark, d):
+    x, y, z = X.pixel_scaled(F.col("nose_x"), F.col("nose_y"), F.col("nose_z"), 640, 480)
+    return frames_em(spark, d).select("track", "frame_idx", _r(x, "x"), _r(y, "y"), _r(z, "z"))
+
+
+_FACE = {"brow_left": ("left_eye", "left_shoulder"), "brow_right": ("right_eye", "right_shoulder"), "mouth_width": ("neck", "hip"), "mouth_height": ("left_hand", "right_hand")}
+
+
+@R.add("op_p3_face_distances", f"{EM} SELECT track, frame_idx, " + ", ".join(f"round(coalesce({_norm([f'{a}_{k} - {b}_{k}' for k in 'xy'])} / nullif({_norm(['left_eye_x - nose_x', 'left_eye_y - nose_y'])}, 0), 0), 6) AS {n}" for n, (a, b) in _FACE.items()) + " FROM frames_em")
+def p3_face_distances(spark, d):
+    f = X.paired_distances(_FACE, X.distance(F.col("left_eye_x"), F.col("left_eye_y"), F.col("nose_x"), F.col("nose_y")))
+    return frames_em(spark, d).select("track", "frame_idx", *[_r(c, n) for n, c in f.items()])
+
+
 _NORM = _norm(["left_eye_x - right_eye_x", "left_eye_y - right_eye_y"])
 
 
-@R.add("p2_p4_body_distances", f"""{EM}, n AS (SELECT *, nullif({_NORM}, 0) AS nd FROM frames_em) SELECT track, frame_idx, round(coalesce(nd, 1), 6) AS norm_dist,
+@R.add("op_p2_p4_body_distances", f"""{EM}, n AS (SELECT *, nullif({_NORM}, 0) AS nd FROM frames_em) SELECT track, frame_idx, round(coalesce(nd, 1), 6) AS norm_dist,
   round(coalesce({_norm(['left_hand_x - right_hand_x', 'left_hand_y - right_hand_y'])} / nd, 0), 6) AS wrists, round(coalesce({_norm(['left_index_x - nose_x', 'left_index_y - nose_y'])} / nd, 0), 6) AS index_nose,
   round(coalesce((left_hand_x - left_elbow_x) / nd, 0), 6) AS wrist_elbow_x FROM n""")
 def p2_p4_body_distances(spark, d):
@@ -224,7 +239,7 @@ def a9_grid(spark, d):
     return frames_em(spark, d).select("track", "frame_idx", *[_r(c, n) for n, c in P.zone_grid().items()])
 
 
-@R.add("p24_zone_code", f"{EM}, {_GRID} SELECT track, frame_idx, {_zone_sql('left')} AS left_zone, {_zone_sql('right')} AS right_zone FROM g3")
+@R.add("op_p24_zone_code", f"{EM}, {_GRID} SELECT track, frame_idx, {_zone_sql('left')} AS left_zone, {_zone_sql('right')} AS right_zone FROM g3")
 def p24_zone_code(spark, d):
     return frames_em(spark, d).select("track", "frame_idx", P.zone_code("left").alias("left_zone"), P.zone_code("right").alias("right_zone"))
 
@@ -249,7 +264,7 @@ def _height_sql(s):
     return f"""CASE WHEN {s}_vis < 0.5 THEN 0 WHEN {y} >= hip_y THEN 0 WHEN {y} >= neck_y THEN 1 + (hip_y - {y}) / nullif(hip_y - neck_y, 0) WHEN {y} >= nose_y THEN 2 + (neck_y - {y}) / nullif(neck_y - nose_y, 0) WHEN {y} >= {s}_eye_y THEN 3 + (nose_y - {y}) / nullif(nose_y - {s}_eye_y, 0) ELSE 5 END"""
 
 
-@R.add("p25_height", f"{EM} SELECT track, frame_idx, round({_height_sql('left')}, 6) AS l, round({_height_sql('right')}, 6) AS r FROM frames_em")
+@R.add("op_p25_height", f"{EM} SELECT track, frame_idx, round({_height_sql('left')}, 6) AS l, round({_height_sql('right')}, 6) AS r FROM frames_em")
 def p25_height(spark, d):
     return frames_em(spark, d).select("track", "frame_idx", _r(P.height_score("left"), "l"), _r(P.height_score("right"), "r"))
 
@@ -283,14 +298,14 @@ def a18_kinematic_features(spark, d):
     return kinematic_features(frames_em(spark, d), ["track"])
 
 
-@R.add("p11_centred_fingers", f"{EM} SELECT track, frame_idx, round(left_pinky_x - avg(left_pinky_x) OVER (PARTITION BY track), 6) AS left_pinky_x FROM frames_em")
+@R.add("op_p11_centred_fingers", f"{EM} SELECT track, frame_idx, round(left_pinky_x - avg(left_pinky_x) OVER (PARTITION BY track), 6) AS left_pinky_x FROM frames_em")
 def p11_centred_fingers(spark, d):
     f = frames_em(spark, d).select("track", "frame_idx", "left_pinky_x")
     m = f.groupBy("track").agg(F.avg("left_pinky_x").alias("m"))
     return f.join(m, "track").select("track", "frame_idx", _r(F.col("left_pinky_x") - F.col("m"), "left_pinky_x"))
 
 
-@R.add("p12_nan_to_zero", f"{EM} SELECT track, frame_idx, CASE WHEN frame_idx % 7 = 0 THEN 0 ELSE nose_x END AS x FROM frames_em")
+@R.add("op_p12_nan_to_zero", f"{EM} SELECT track, frame_idx, CASE WHEN frame_idx % 7 = 0 THEN 0 ELSE nose_x END AS x FROM frames_em")
 def p12_nan_to_zero(spark, d):
     dirty = F.when(F.col("frame_idx") % 14 == 0, F.lit(float("nan"))).when(F.col("frame_idx") % 7 == 0, F.lit(None)).otherwise(F.col("nose_x"))
     return frames_em(spark, d).select("track", "frame_idx", F.coalesce(F.nanvl(dirty, F.lit(0.0)), F.lit(0.0)).alias("x"))

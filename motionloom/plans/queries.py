@@ -10,7 +10,7 @@ from motionloom.plans import frames, segments, streams, tables
 from motionloom.plans.adapters import predictions
 from motionloom.plans.base import Query, Registry
 from motionloom.runtime import table
-from motionloom.sources.tables import annotation_documents
+from motionloom.sources.tables import annotation_lines
 
 R = Registry()
 
@@ -28,7 +28,7 @@ def p3_found(spark, d):
 
 @R.add("k4_annotation_files")
 def k4_annotation_files(spark, d):
-    return annotation_documents(create_segments(predictions(spark, d)))
+    return annotation_lines(create_segments(predictions(spark, d)))
 
 
 _PARTS = [segments.R, frames.R, tables.R, streams.R, R]

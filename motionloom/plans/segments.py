@@ -67,7 +67,7 @@ def a3_track_statistics(spark, d):
     return s.select("track_id", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
 
 
-@R.add("p19_bias_shift", f"""{P} SELECT ann_id, round(gesture_confidence + b, 9) AS gesture, round(move_confidence - b, 9) AS move FROM (
+@R.add("op_p19_bias_shift", f"""{P} SELECT ann_id, round(gesture_confidence + b, 9) AS gesture, round(move_confidence - b, 9) AS move FROM (
   SELECT *, CASE WHEN has_motion > 0 AND gesture_confidence + move_confidence > 0 THEN move_confidence * (0.4::DOUBLE * 0.5) ELSE 0 END AS b FROM predictions)""")
 def p19_bias_shift(spark, d):
     g, m = S.bias_shift(F.col("has_motion"), F.col("gesture_confidence"), F.col("move_confidence"), 0.4)
@@ -77,14 +77,14 @@ def p19_bias_shift(spark, d):
 _ARGMAX = """CASE WHEN nogesture_confidence >= gesture_confidence AND nogesture_confidence >= move_confidence THEN 0 WHEN gesture_confidence >= move_confidence THEN 1 ELSE 2 END"""
 
 
-@R.add("p18_argmax", f"{P} SELECT ann_id, {_ARGMAX} AS best, greatest(nogesture_confidence, gesture_confidence, move_confidence) AS confidence FROM predictions WHERE nogesture_confidence IS NOT NULL AND gesture_confidence IS NOT NULL AND move_confidence IS NOT NULL")
+@R.add("op_p18_argmax", f"{P} SELECT ann_id, {_ARGMAX} AS best, greatest(nogesture_confidence, gesture_confidence, move_confidence) AS confidence FROM predictions WHERE nogesture_confidence IS NOT NULL AND gesture_confidence IS NOT NULL AND move_confidence IS NOT NULL")
 def p18_argmax(spark, d):
     conf = F.array("nogesture_confidence", "gesture_confidence", "move_confidence")
     rows = predictions(spark, d).dropna(subset=["nogesture_confidence", "gesture_confidence", "move_confidence"])
     return rows.select("ann_id", (F.array_position(conf, F.array_max(conf)) - 1).cast("int").alias("best"), F.array_max(conf).alias("confidence"))
 
 
-@R.add("p20_class_confidences", f"""WITH {PREDICTIONS_SQL}, n AS (SELECT ann_id, CASE {_ARGMAX} WHEN 0 THEN 'NOGESTURE' WHEN 1 THEN 'GESTURE' ELSE 'MOVE' END AS name, greatest(nogesture_confidence, gesture_confidence, move_confidence) AS c FROM predictions)
+@R.add("op_p20_class_confidences", f"""WITH {PREDICTIONS_SQL}, n AS (SELECT ann_id, CASE {_ARGMAX} WHEN 0 THEN 'NOGESTURE' WHEN 1 THEN 'GESTURE' ELSE 'MOVE' END AS name, greatest(nogesture_confidence, gesture_confidence, move_confidence) AS c FROM predictions)
   SELECT ann_id, CASE name WHEN 'NOGESTURE' THEN 1 - c WHEN 'MOVE' THEN 0 ELSE c END AS has_motion, CASE name WHEN 'NOGESTURE' THEN c ELSE 1 - c END AS nogesture,
   CASE name WHEN 'NOGESTURE' THEN 1 - c WHEN 'MOVE' THEN 0 ELSE c END AS gesture, CASE name WHEN 'MOVE' THEN c ELSE 0 END AS move FROM n""")
 def p20_class_confidences(spark, d):
@@ -126,27 +126,27 @@ def f15_not_in(spark, d):
     return predictions(spark, d).where(~F.col("label").isin("NoGesture", "NOGESTURE")).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("p21_centre_time", f"{P} SELECT ann_id, time + 0.5::DOUBLE AS centre FROM predictions")
+@R.add("op_p21_centre_time", f"{P} SELECT ann_id, time + 0.5::DOUBLE AS centre FROM predictions")
 def p21_centre_time(spark, d):
     return predictions(spark, d).select("ann_id", (F.col("time") + (25 / 2) / 25).alias("centre"))
 
 
-@R.add("p14_clamp", f"{P} SELECT ann_id, greatest(0.1::DOUBLE, least(time / 100, 2.0::DOUBLE)) AS gap FROM predictions")
+@R.add("op_p14_clamp", f"{P} SELECT ann_id, greatest(0.1::DOUBLE, least(time / 100, 2.0::DOUBLE)) AS gap FROM predictions")
 def p14_clamp(spark, d):
     return predictions(spark, d).select("ann_id", F.greatest(F.lit(0.1), F.least(F.col("time") / 100, F.lit(2.0))).alias("gap"))
 
 
-@R.add("p15_quantise", f"{P} SELECT ann_id, trunc(gesture_confidence * 480)::INT AS y FROM predictions")
+@R.add("op_p15_quantise", f"{P} SELECT ann_id, trunc(gesture_confidence * 480)::INT AS y FROM predictions")
 def p15_quantise(spark, d):
     return predictions(spark, d).select("ann_id", (F.col("gesture_confidence") * 480).cast("int").alias("y"))
 
 
-@R.add("p22_one_hot", f"{P} SELECT ann_id, (label <> 'NoGesture')::INT AS has_motion, (label = 'Gesture')::INT AS gesture, (label = 'Move')::INT AS move FROM predictions")
+@R.add("op_p22_one_hot", f"{P} SELECT ann_id, (label <> 'NoGesture')::INT AS has_motion, (label = 'Gesture')::INT AS gesture, (label = 'Move')::INT AS move FROM predictions")
 def p22_one_hot(spark, d):
     return predictions(spark, d).select("ann_id", *[c.cast("int").alias(n) for n, c in (("has_motion", F.col("label") != "NoGesture"), ("gesture", F.col("label") == "Gesture"), ("move", F.col("label") == "Move"))])
 
 
-@R.add("p27_lookup", f"{P} SELECT ann_id, CASE label WHEN 'Gesture' THEN 'green' WHEN 'Move' THEN 'blue' ELSE 'white' END AS colour FROM predictions")
+@R.add("op_p27_lookup", f"{P} SELECT ann_id, CASE label WHEN 'Gesture' THEN 'green' WHEN 'Move' THEN 'blue' ELSE 'white' END AS colour FROM predictions")
 def p27_lookup(spark, d):
     colours = F.create_map(F.lit("Gesture"), F.lit("green"), F.lit("Move"), F.lit("blue"))
     return predictions(spark, d).select("ann_id", F.coalesce(F.element_at(colours, F.col("label")), F.lit("white")).alias("colour"))

@@ -74,7 +74,7 @@ def g11_stamps(spark, d):
     return table(spark, d, "video_names").select("video_id", F.date_format("recorded_at", "yyyyMMdd_HHmmss").alias("stamp"))
 
 
-@R.add("p26_integer_fps", "SELECT video_id, trunc(fps)::INT AS fps FROM video_names")
+@R.add("op_p26_integer_fps", "SELECT video_id, trunc(fps)::INT AS fps FROM video_names")
 def p26_integer_fps(spark, d):
     return table(spark, d, "video_names").select("video_id", F.col("fps").cast("int").alias("fps"))
 
@@ -109,23 +109,23 @@ def s11_latest_session(spark, d):
     return table(spark, d, "video_names").where("recorded_at is not null").agg(F.max_by("video_id", F.struct("recorded_at", "video_id")).alias("video_id"))
 
 
-@R.add("p13_select_but_ids", f"{G} SELECT rec_id, volume, duration, hand_peak_speed FROM gestures")
+@R.add("op_p13_select_but_ids", f"{G} SELECT rec_id, volume, duration, hand_peak_speed FROM gestures")
 def p13_select_but_ids(spark, d):
     g = gestures(spark, d).drop("gesture_id", "video_id", "video", "computed_at", "active_hand")
     return g.select("rec_id", "volume", "duration", "hand_peak_speed")
 
 
-@R.add("p16_standard_scaler", f"{G}, s AS (SELECT avg(duration) AS m, CASE WHEN stddev_pop(duration) = 0 THEN 1 ELSE stddev_pop(duration) END AS v FROM gestures) SELECT rec_id, round((duration - m) / v, 6) AS duration FROM gestures, s")
+@R.add("op_p16_standard_scaler", f"{G}, s AS (SELECT avg(duration) AS m, CASE WHEN stddev_pop(duration) = 0 THEN 1 ELSE stddev_pop(duration) END AS v FROM gestures) SELECT rec_id, round((duration - m) / v, 6) AS duration FROM gestures, s")
 def p16_standard_scaler(spark, d):
     return L.standardise(gestures(spark, d).select("rec_id", "duration"), ["duration"]).select("rec_id", _r(F.col("duration"), "duration"))
 
 
-@R.add("p17_label_codes", "SELECT DISTINCT label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM training_frames WHERE label IS NOT NULL")
+@R.add("op_p17_label_codes", "SELECT DISTINCT label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM training_frames WHERE label IS NOT NULL")
 def p17_label_codes(spark, d):
     return L.encode_labels(table(spark, d, "training_frames").select("label").where("label is not null"), "label").distinct().withColumn("code", F.col("code").cast("long"))
 
 
-@R.add("p23_z_score", f"""WITH {FRAMES_TR_SQL}, e AS (SELECT label, video, frame_idx, unnest(lm) AS x FROM frames_tr), s AS (SELECT label, video, frame_idx, avg(x) AS m, stddev_pop(x) AS v FROM e GROUP BY ALL)
+@R.add("op_p23_z_score", f"""WITH {FRAMES_TR_SQL}, e AS (SELECT label, video, frame_idx, unnest(lm) AS x FROM frames_tr), s AS (SELECT label, video, frame_idx, avg(x) AS m, stddev_pop(x) AS v FROM e GROUP BY ALL)
   SELECT f.label, f.video, f.frame_idx, round((f.lm[4] - m) / (v + 1e-8), 5) AS z FROM frames_tr f JOIN s USING (label, video, frame_idx)""")
 def p23_z_score(spark, d):
     return frames_tr(spark, d).select("label", "video", "frame_idx", _r(F.get(L.z_scored(F.col("lm")), F.lit(3)), "z", 5))

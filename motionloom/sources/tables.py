@@ -54,42 +54,46 @@ def _escaped(c):
     return c
 
 
-def annotation_documents(segments: DataFrame, track: str = "track_id", author: str = "motionloom") -> DataFrame:
-    """track_id, xml: an annotation file per track with slots in order and one tier ``PREDICTED``. Labels are escaped.
+def annotation_lines(segments: DataFrame, track: str = "track_id", author: str = "motionloom") -> DataFrame:
+    """track_id, section, n, line: the annotation file of each track, line by line in order of (section, n).
 
-    A file is one string, so it must fit a task; that holds for what an annotation editor opens.
+    Slots come in order, annotations in one tier ``PREDICTED``; labels are escaped. Lines stay
+    rows, so a file of any length is never built in one task. A track without segments has no file.
     """
-    slots = annotation_slots(segments, track).groupBy("track_id").agg(
-        F.concat_ws(
-            "\n",
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("slot", "slot_id", "ms"))),
-                lambda s: F.format_string('    <TIME_SLOT TIME_SLOT_ID="%s" TIME_VALUE="%d"/>', s["slot_id"], s["ms"]),
-            ),
-        ).alias("slots")
-    )
-    number = F.substring("annotation_id", 2, 20).cast("long")
-    refs = annotation_refs(segments, track).groupBy("track_id").agg(
-        F.concat_ws(
-            "\n",
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(number.alias("k"), "annotation_id", "slot_ref1", "slot_ref2", _escaped(F.col("label")).alias("label")))),
-                lambda a: F.format_string(
-                    '    <ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="%s" TIME_SLOT_REF1="%s" TIME_SLOT_REF2="%s"><ANNOTATION_VALUE>%s</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>',
-                    a["annotation_id"],
-                    a["slot_ref1"],
-                    a["slot_ref2"],
-                    a["label"],
-                ),
-            ),
-        ).alias("annotations")
+    tracks = segments.select(F.col(track).alias("track_id")).distinct()
+
+    def fixed(section: int, *lines: str) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(k).cast("long").alias("n"), F.lit(x).alias("line")) for k, x in enumerate(lines)])
+        return tracks.select("track_id", F.lit(section).alias("section"), F.explode(rows).alias("r")).select("track_id", "section", "r.*")
+
+    slots = annotation_slots(segments, track).select(
+        "track_id",
+        F.lit(1).alias("section"),
+        F.col("slot").alias("n"),
+        F.format_string('    <TIME_SLOT TIME_SLOT_ID="%s" TIME_VALUE="%d"/>', "slot_id", "ms").alias("line"),
     )
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<ANNOTATION_DOCUMENT AUTHOR="{author}" FORMAT="3.0" VERSION="3.0">\n  <HEADER TIME_UNITS="milliseconds"/>\n  <TIME_ORDER>\n'
-    tail = '\n  </TIER>\n  <LINGUISTIC_TYPE LINGUISTIC_TYPE_ID="default" TIME_ALIGNABLE="true"/>\n</ANNOTATION_DOCUMENT>\n'
-    return slots.join(refs, "track_id").select(
+    refs = annotation_refs(segments, track).select(
         "track_id",
-        F.concat(F.lit(head), "slots", F.lit('\n  </TIME_ORDER>\n  <TIER LINGUISTIC_TYPE_REF="default" TIER_ID="PREDICTED">\n'), "annotations", F.lit(tail)).alias("xml"),
+        F.lit(3).alias("section"),
+        F.substring("annotation_id", 2, 20).cast("long").alias("n"),
+        F.format_string(
+            '    <ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="%s" TIME_SLOT_REF1="%s" TIME_SLOT_REF2="%s"><ANNOTATION_VALUE>%s</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>',
+            "annotation_id",
+            "slot_ref1",
+            "slot_ref2",
+            _escaped(F.col("label")),
+        ).alias("line"),
     )
+    head = fixed(0, '<?xml version="1.0" encoding="UTF-8"?>', f'<ANNOTATION_DOCUMENT AUTHOR="{author}" FORMAT="3.0" VERSION="3.0">', '  <HEADER TIME_UNITS="milliseconds"/>', "  <TIME_ORDER>")
+    middle = fixed(2, "  </TIME_ORDER>", '  <TIER LINGUISTIC_TYPE_REF="default" TIER_ID="PREDICTED">')
+    tail = fixed(4, "  </TIER>", '  <LINGUISTIC_TYPE LINGUISTIC_TYPE_ID="default" TIME_ALIGNABLE="true"/>', "</ANNOTATION_DOCUMENT>")
+    return head.unionByName(slots).unionByName(middle).unionByName(refs).unionByName(tail)
+
+
+def write_annotations(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One folder per track with its lines in order; a very long file continues in the next part."""
+    ordered = lines.repartitionByRange("track_id", "section", "n").sortWithinPartitions("track_id", "section", "n")
+    ordered.select("track_id", "line").write.mode(mode).partitionBy("track_id").text(path)
 
 
 def latest_session(sessions: DataFrame, created: str = "created", name: str = "session") -> DataFrame:
