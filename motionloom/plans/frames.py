@@ -10,6 +10,7 @@ from motionloom.operators.kinematics import kinematic_features
 from motionloom.operators.signals import smooth_over_time
 from motionloom.plans.adapters import FRAMES_EM_SQL, FRAMES_TR_SQL, frames_em, frames_tr
 from motionloom.plans.base import Registry
+from motionloom.runtime import cut
 
 R = Registry()
 TR = "WITH " + FRAMES_TR_SQL
@@ -295,7 +296,7 @@ def a12_a13_holds(spark, d):
 
 @R.add("a18_kinematic_features")
 def a18_kinematic_features(spark, d):
-    return kinematic_features(frames_em(spark, d), ["track"])
+    return kinematic_features(cut(frames_em(spark, d)), ["track"])
 
 
 @R.add("op_p11_centred_fingers", f"{EM} SELECT track, frame_idx, round(left_pinky_x - avg(left_pinky_x) OVER (PARTITION BY track), 6) AS left_pinky_x FROM frames_em")

@@ -83,6 +83,19 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in wanted.items()])
 
 
+def spread(df: DataFrame, most_per_core: int = 32 << 20) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where it comes from fewer files than that.
+
+    For work in Python, which would else run on one core when a small table lies in one file.
+    A table that has enough files, or is large and so is split by the scan itself, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > most_per_core * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def finite(c: Column) -> Column:
     """Null for NaN and the infinities, else the value."""
     d = c.cast("double")
