@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motionloom.runtime import spread
+
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the published word pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -185,4 +187,4 @@ def token_ids(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, step), lists], names=["doc_id", "ids"])
 
-    return df.select(F.col(doc_id), F.col(text)).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
+    return spread(df.select(F.col(doc_id), F.col(text))).mapInArrow(encode, f"doc_id {kind}, ids array<int>")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionloom.llm import prose
+from motionloom.runtime import spread
 
 CHUNK = 60_000
 EDGE = 200
@@ -99,7 +100,7 @@ def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     summed. Further columns of ``df`` play no part; an empty table gives an empty result.
     """
     base = df.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    short = base.where(F.length("text") <= long_text).select("doc", "text", F.lit("").alias("before"), F.lit("").alias("after"))
+    short = spread(base.where(F.length("text") <= long_text)).select("doc", "text", F.lit("").alias("before"), F.lit("").alias("after"))
     long = (
         base.where(F.length("text") > long_text)
         .mapInPandas(_cut, "doc long, part long, text string, before string, after string")
