@@ -45,6 +45,7 @@ _NO_FOLLOW = frozenset(
     een het op van voor in met en der die das dem den ein eine im am und ist wird mit auf für weil omdat maar naar""".split()
 )
 _ALLOWED = frozenset([("a", "la"), ("a", "las"), ("a", "los"), ("a", "un"), ("a", "una"), ("a", "el")])
+_MARK = re.compile(r"<\|[^|<>]{0,40}\|>")
 _QUOTE = re.compile(r"(?m)^\s*>[> ]*")
 _SPEAKER = re.compile(r"(?m)^\s*[A-Z]\w{0,14}:\s")
 
@@ -77,7 +78,7 @@ def pieces_of(line: str) -> list[str]:
 
 def structured(line: str) -> bool:
     """A row of a table, of machine output or of an enumeration, by its form alone."""
-    s = line.strip()
+    s = _MARK.sub("", line).strip()
     words = _WORD.findall(s)
     if "\t" in s or s.count("|") >= 2 or s.count(";") >= 3 and len(words) < 4 * s.count(";"):
         return True
@@ -93,7 +94,7 @@ def structured(line: str) -> bool:
 def running(text: str, n_lines: int = 1) -> bool:
     """Whether one paragraph is running language of any kind."""
     # Tags stand in prose too; only their content is read.
-    bare = _SPEAKER.sub("", _QUOTE.sub("", _TAG.sub(" ", text)))
+    bare = _SPEAKER.sub("", _QUOTE.sub("", _TAG.sub(" ", _MARK.sub(" ", text))))
     dense = [c for c in bare if not c.isspace()]
     if not dense:
         return False
@@ -117,7 +118,7 @@ def running(text: str, n_lines: int = 1) -> bool:
     mixed = sum(len(t) for t in tokens if len(t) > 25 and re.search(r"\d", t) and re.search(r"[a-z][A-Z]|[A-Z][a-z]+[A-Z]", t))
     if mixed > 0.4 * len(dense):
         return False
-    if n >= 10 and len(set(words)) < 0.25 * min(n, 160) or n >= 16 and len(set(zip(words, words[1:]))) < 0.3 * min(n, 160):
+    if n >= 10 and len(set(words)) < 0.25 * min(n, 60) or n >= 16 and len(set(zip(words, words[1:]))) < 0.3 * min(n, 80):
         return False
     if n >= 6 and len(_INNER.findall(bare)) > 0.16 * n:
         return False
@@ -131,12 +132,15 @@ def running(text: str, n_lines: int = 1) -> bool:
         follow = [b in _NO_FOLLOW and (a, b) not in _ALLOWED for a, b in zip(words, words[1:]) if a in _ARTICLES]
         if sum(follow) >= 2 and sum(follow) > 0.14 * len(follow) and not re.search(r"[,.;]\s", bare[: len(bare) // 2]):
             return False
+        # Long stretches without any mark need to read well: speech does, shuffled words don't.
+        if n >= 40 and common < 0.5 and sum(follow) > 0.1 * len(follow) and not re.search(r"[,.;!?]\s", bare):
+            return False
         cased = re.findall(r"[^.!?:;,\"“”«»()\-–—…'\n\r]\s+([A-Z][a-z]+)\b", bare)
         odd = sum(w.lower() in COMMON and w != "I" for w in cased)
         if odd >= 3 and odd > 0.02 * n and sum(w.islower() for w in _WORD.findall(bare)) > 0.6 * n and not re.search(r"\n", bare):
             return False
     if latin < 0.5:
-        return n >= 4 and (common > 0.08 or n >= 8 and len(set(words)) > 0.4 * min(n, 160))
+        return n >= 4 and (common > 0.08 or len(set(words)) > 0.4 * min(n, 160))
     # A heading or a list glued to sentences still has commas; only a high share of them counts.
     separators = len(re.findall(r"[,;/|•»·]|\s[-–=]\s|:\s|#\w", bare))
     if separators > 0.22 * n and common < 0.36:

@@ -74,7 +74,7 @@ def allot(loads: list[float], targets: dict[str, float]) -> list[str]:
     return out
 
 
-def assign_groups(weights: DataFrame, targets: dict[str, float] = TARGETS, bins: int = 40, buckets: int = 2048) -> DataFrame:
+def assign_groups(weights: DataFrame, targets: dict[str, float] = TARGETS, bins: int = 200, buckets: int = 2048) -> DataFrame:
     """group, split for a table of (group, weight), weights summing to the split shares as nearly as groups allow.
 
     A group that weighs at least 1/``buckets`` of all is packed by itself (there are at most

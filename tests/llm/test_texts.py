@@ -100,7 +100,7 @@ def test_leaks(spark):
         (1, " ".join(w)), (2, "before " * 50 + " ".join(half) + " after" * 50), (3, " ".join(changed).upper().replace(" ", "  \n")),
         (4, " ".join(w[12:32]) + " quite other words " * 30 + " ".join(w[60:80])), (5, "<p>" + "</b> <b>".join(half) + "</p>"), (6, " ".join(x[:2] + "​" + x[2:] for x in half)),
         (7, " ".join(lead)), (8, " ".join(w[50:62])), (9, " ".join(shuffled)), (10, None), (11, ""), (12, " "), (13, "word " * 30000 + " ".join(half)),
-        (14, " ".join(items[2]) + " " + " ".join(items[3])),
+        (14, " ".join(items[2]) + " " + " ".join(items[3])), (15, " ".join(lead) + " filler" * 40 + " " + " ".join(w[20:46])),
     ]
     df = spark.createDataFrame(docs, DOCS).withColumns({"item_id": F.lit(1), "doc": F.lit("c")})
     found = leaks.leaks(leaks.leaked_spans(df, bench))
