@@ -96,10 +96,10 @@ def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     Columns: doc_id, n_chars, n_words, mean_word_length, symbol_ratio, digit_ratio, n_lines,
     ended_line_share, bullet_line_share, common_word_share, running_share, not_prose.
     Null, empty and blank texts get zero counts, null ratios and not_prose false. Texts of any
-    length are read whole; repeated doc_ids count as separate texts of one document and are
-    summed. Further columns of ``df`` play no part; an empty table gives an empty result.
+    length are read whole; texts with the same doc_id are summed as parts of one document; rows
+    without doc_id are left out. Further columns of ``df`` play no part; an empty table gives an empty result.
     """
-    base = df.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = df.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc is not null")
     short = spread(base.where(F.length("text") <= long_text)).select("doc", "text", F.lit("").alias("before"), F.lit("").alias("after"))
     long = (
         base.where(F.length("text") > long_text)

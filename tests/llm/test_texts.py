@@ -88,7 +88,7 @@ def item(seed, n=90):
 def test_leaks(spark):
     lead = "Read the clip and answer in one short sentence please".split()
     items = {k: lead + item(k) for k in range(6)}
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(90, None), (91, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(90, None), (91, ""), (None, "x y z")], "item_id long, text string")
     w = items[1]
     half = w[40:80]
     changed = list(half)
@@ -99,7 +99,7 @@ def test_leaks(spark):
     docs = [
         (1, " ".join(w)), (2, "before " * 50 + " ".join(half) + " after" * 50), (3, " ".join(changed).upper().replace(" ", "  \n")),
         (4, " ".join(w[12:32]) + " quite other words " * 30 + " ".join(w[60:80])), (5, "<p>" + "</b> <b>".join(half) + "</p>"), (6, " ".join(x[:2] + "​" + x[2:] for x in half)),
-        (7, " ".join(lead)), (8, " ".join(w[50:62])), (9, " ".join(shuffled)), (10, None), (11, ""), (12, " "), (13, "word " * 30000 + " ".join(half)),
+        (7, " ".join(lead)), (8, " ".join(w[50:62])), (9, " ".join(shuffled)), (10, None), (11, ""), (12, " "), (None, " ".join(w)), (13, "word " * 30000 + " ".join(half)),
         (14, " ".join(items[2]) + " " + " ".join(items[3])), (15, " ".join(lead) + " filler" * 40 + " " + " ".join(w[20:46])),
     ]
     df = spark.createDataFrame(docs, DOCS).withColumns({"item_id": F.lit(1), "doc": F.lit("c")})
@@ -137,7 +137,7 @@ def test_running_language():
 
 
 def test_statistics(spark):
-    docs = [(1, PROSE), (2, LIST), (3, None), (4, ""), (5, "  \n "), (6, PROSE * 3000), (7, "x" * 700_000), (8, "".join(LIST.splitlines(True)[:8]) + PROSE * 2), (9, PROSE + LIST * 3)]
+    docs = [(1, PROSE), (2, LIST), (3, None), (4, ""), (5, "  \n "), (6, PROSE * 3000), (7, "x" * 700_000), (8, "".join(LIST.splitlines(True)[:8]) + PROSE * 2), (9, PROSE + LIST * 3), (None, LIST)]
     df = spark.createDataFrame(docs, DOCS).withColumns({"n_chars": F.lit(-1), "doc": F.lit(0), "part": F.lit(0)})
     out = {r.doc_id: r for r in textstats.text_statistics(df).collect()}
     assert {k for k, r in out.items() if r.not_prose} == {2, 6, 7, 9}  # endless repetition is no prose either
