@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motionloom.functions.keys import video_key_sql
+from motionloom.functions.keys import dataset_key_sql, video_key_sql
 from motionloom.functions.labels import label_class_sql
 
 _RUNS = f"""
@@ -43,10 +43,26 @@ def _percentiles(keys: str, where: str) -> str:
     return _GESTURES.replace("<keys>", keys).replace("<where>", where).replace("<probs>", probs)
 
 
+_GROUPS = f"""
+WITH RECURSIVE links AS (
+  SELECT DISTINCT video, dataset FROM (SELECT {video_key_sql('video_id')} AS video, {dataset_key_sql('dataset')} AS dataset FROM training_frames)
+  WHERE video IS NOT NULL AND dataset IS NOT NULL
+), reach AS (
+  SELECT video, dataset FROM links
+  UNION
+  SELECT r.video, l2.dataset FROM reach r JOIN links l1 ON l1.dataset = r.dataset JOIN links l2 ON l2.video = l1.video
+), own AS (
+  SELECT rec_id, min({video_key_sql('video_id')}) AS video FROM kinematic_features WHERE rec_id IS NOT NULL GROUP BY rec_id
+)
+SELECT rec_id, group_id FROM own LEFT JOIN (SELECT video, min(dataset) AS group_id FROM reach GROUP BY video) g USING (video) WHERE video IS NOT NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _RUNS + "SELECT first_ann_id, last_ann_id FROM runs WHERE n >= 2",
         "p1_runs": _RUNS + "SELECT track_id, v AS label, first_ann_id, n AS n_events, round(t0, 6) AS start_time, round(t1 - t0, 6) AS duration FROM runs",
+        "p4_found": _GROUPS,
         "p5_video_percentiles": _percentiles("video_id, measure", "AND video_id IS NOT NULL"),
         "p5_day_percentiles": _percentiles("day, measure", "AND day IS NOT NULL"),
         "p5_days_combined": _percentiles("measure", ""),
