@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motionloom.operators.outliers import implausible_arm, implausible_peaks
-from motionloom.operators.segments import create_segments
 from motionloom.plans import frames, segments, streams, tables
-from motionloom.plans.adapters import predictions
 from motionloom.plans.base import Query, Registry
 from motionloom.runtime import table
-from motionloom.sources.tables import annotation_lines
 
 R = Registry()
 
@@ -26,11 +23,6 @@ def p3_found(spark, d):
     )
 
 
-@R.add("k4_annotation_files")
-def k4_annotation_files(spark, d):
-    return annotation_lines(create_segments(predictions(spark, d)))
-
-
 _PARTS = [segments.R, frames.R, tables.R, streams.R, R]
 
 

@@ -9,6 +9,7 @@ from motionloom.operators.sliced import cut_by, running_sum, with_neighbours
 from motionloom.plans.adapters import PREDICTIONS_SQL, predictions
 from motionloom.plans.base import Registry
 from motionloom.runtime import table
+from motionloom.sources.tables import annotation_lines
 
 R = Registry()
 P = "WITH " + PREDICTIONS_SQL
@@ -182,6 +183,23 @@ def j8_annotation_refs(spark, d):
     return S.annotation_refs(S.create_segments(predictions(spark, d)))
 
 
+_FIXED = [
+    (0, 0, '<?xml version="1.0" encoding="UTF-8"?>'), (0, 1, '<ANNOTATION_DOCUMENT AUTHOR="motionloom" FORMAT="3.0" VERSION="3.0">'), (0, 2, '  <HEADER TIME_UNITS="milliseconds"/>'), (0, 3, "  <TIME_ORDER>"),
+    (2, 0, "  </TIME_ORDER>"), (2, 1, '  <TIER LINGUISTIC_TYPE_REF="default" TIER_ID="PREDICTED">'),
+    (4, 0, "  </TIER>"), (4, 1, '  <LINGUISTIC_TYPE LINGUISTIC_TYPE_ID="default" TIME_ALIGNABLE="true"/>'), (4, 2, "</ANNOTATION_DOCUMENT>"),
+]
+
+
+@R.add("k4_annotation_files", f"""WITH {_segments_sql(0.3, 0.5)}, t AS (SELECT track_id, (2 * labelid - 1)::BIGINT AS slot, trunc(start_time * 1000)::BIGINT AS ms FROM segments UNION ALL SELECT track_id, (2 * labelid)::BIGINT, trunc(end_time * 1000)::BIGINT FROM segments),
+  last AS (SELECT track_id, ms, max(slot) AS slot FROM t GROUP BY track_id, ms), fixed(section, n, line) AS (VALUES {', '.join(f"({s}, {n}, '{line}')" for s, n, line in _FIXED)})
+  SELECT track_id, section, n::BIGINT AS n, line FROM fixed, (SELECT DISTINCT track_id FROM segments) UNION ALL
+  SELECT track_id, 1, slot, '    <TIME_SLOT TIME_SLOT_ID="ts' || slot || '" TIME_VALUE="' || ms || '"/>' FROM t UNION ALL
+  SELECT s.track_id, 3, s.labelid::BIGINT, '    <ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a' || s.labelid || '" TIME_SLOT_REF1="ts' || x.slot || '" TIME_SLOT_REF2="ts' || y.slot || '"><ANNOTATION_VALUE>' || s.label || '</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>'
+  FROM segments s JOIN last x ON x.track_id = s.track_id AND x.ms = trunc(s.start_time * 1000)::BIGINT JOIN last y ON y.track_id = s.track_id AND y.ms = trunc(s.end_time * 1000)::BIGINT""")
+def k4_annotation_files(spark, d):
+    return annotation_lines(S.create_segments(predictions(spark, d)))
+
+
 @R.add("w10_display_window", f"""{P}, b AS (SELECT *, min(time) OVER (PARTITION BY track_id) AS lo, max(time) OVER (PARTITION BY track_id) AS hi FROM predictions),
   v AS (SELECT ann_id, time, CASE WHEN time < lo + 2 THEN lo WHEN time > hi - 2 THEN greatest(lo, hi - 10) ELSE greatest(lo, time - 8) END AS s,
                CASE WHEN time < lo + 2 THEN least(hi, lo + 10) WHEN time > hi - 2 THEN hi ELSE least(hi, greatest(lo, time - 8) + 10) END AS e FROM b)
