@@ -44,10 +44,17 @@ def warping_distance(a: np.ndarray, b: np.ndarray, width: int = 4) -> tuple[floa
     return raw / (n + m), raw
 
 
-def gesture_series(frames: DataFrame, by: str, columns: list[str], index: str = "frame_idx") -> DataFrame:
-    """One row per gesture: its frames in order as an array of vectors. A gesture is a clip of seconds."""
-    step = F.struct(F.col(index).alias("i"), F.array(*[F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in columns]).alias("v"))
-    return frames.groupBy(F.col(by).alias("gesture")).agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["v"]).alias("series"))
+def gesture_series(frames: DataFrame, by: str, columns: list[str], index: str = "frame_idx", centred: list[str] | None = None) -> DataFrame:
+    """One row per gesture: its frames in order as an array of vectors. A gesture is a clip of seconds.
+
+    ``centred``: columns that follow ``columns``, each less its mean over the gesture's frames.
+    """
+    value = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
+    centred = centred or []
+    step = F.struct(F.col(index).alias("i"), F.array(*[value(c) for c in (*columns, *centred)]).alias("v"))
+    means = F.array(*[F.lit(0.0) for _ in columns], *[F.avg(value(c)) for c in centred])
+    out = frames.groupBy(F.col(by).alias("gesture")).agg(F.array_sort(F.collect_list(step)).alias("steps"), means.alias("means"))
+    return out.select("gesture", F.transform("steps", lambda x: F.zip_with(x["v"], "means", lambda a, m: a - m)).alias("series"))
 
 
 def pairwise_distances(series: DataFrame, blocks: int = 16, width: int = 4) -> DataFrame:

@@ -54,8 +54,8 @@ FRAMES_TR_SQL = f"""{TRAINING_SQL}, frames_tr AS (
   SELECT label, video, dataset, seq_no, lm, row_number() OVER (PARTITION BY label, video ORDER BY seq_no) - 1 AS frame_idx
   FROM training_rows WHERE lm IS NOT NULL AND len(lm) = 69 AND video IS NOT NULL)"""
 
-_FINGERS = [f"{s}_{f}" for s in ("left", "right") for f in ("pinky", "index", "thumb")]
-_EM = [f"{j}_{a}" for j in (*POINTS, *_FINGERS) for a in "xyz"]
+FINGERS = [f"{s}_{f}" for s in ("left", "right") for f in ("pinky", "index", "thumb")]
+_EM = [f"{j}_{a}" for j in (*POINTS, *FINGERS) for a in "xyz"]
 
 
 def frames_em(spark: SparkSession, d: str) -> DataFrame:

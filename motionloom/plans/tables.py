@@ -10,7 +10,7 @@ from motionloom.operators import distance as D
 from motionloom.operators import learning as L
 from motionloom.operators.features import decimated
 from motionloom.operators.spatial import POINTS
-from motionloom.plans.adapters import FRAMES_TR_SQL, GESTURES_SQL, PREDICTIONS_SQL, TRAINING_SQL, frames_em, frames_tr, gestures, predictions, training_rows
+from motionloom.plans.adapters import FINGERS, FRAMES_TR_SQL, GESTURES_SQL, PREDICTIONS_SQL, TRAINING_SQL, frames_em, frames_tr, gestures, predictions, training_rows
 from motionloom.plans.base import Registry
 from motionloom.runtime import table
 
@@ -255,8 +255,9 @@ def u5_append(spark, d):
 
 
 def _series(spark, d):
-    cols = [f"{j}_{a}" for j in POINTS[:6] for a in "xyz"]
-    return D.gesture_series(frames_em(spark, d).where("frame_idx < 40"), "track", cols)
+    arms = [f"{j}_{a}" for j in POINTS[:6] for a in "xyz"]
+    fingers = [f"{j}_{a}" for j in FINGERS for a in "xyz"]
+    return D.gesture_series(frames_em(spark, d), "track", arms, centred=fingers)
 
 
 @R.add("m1_warping_distances")

@@ -16,6 +16,7 @@ from motionloom.operators import signals as G
 from motionloom.operators import spatial as P
 from motionloom.operators.kinematics import kinematic_features
 from motionloom.operators.sliced import cut_by, running_sum, with_neighbours
+from motionloom.plans import tables
 
 
 def series(spark, values):
@@ -219,6 +220,19 @@ def test_distance_matrix(spark):
         D.planar_map(D.pairwise_distances(s), most=4)
 
 
+def test_series_of_whole_tracks(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(k, k % 2, rng.random(64).tolist()) for k in range(150)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.gesture: np.array(r.series) for r in tables._series(spark, str(tmp_path)).collect()}
+    for g in (0, 1):
+        e = np.array([v for _, label, v in rows if label == g], dtype=np.float32).astype(float)
+        assert got[g].shape == (75, 36)
+        assert np.allclose(got[g][:, :18], e[:, :18]) and np.allclose(got[g][:, 18:], e[:, 33:51] - e[:, 33:51].mean(axis=0))
+    m = {(r.gesture_i, r.gesture_j): r.distance for r in tables.m1_warping_distances(spark, str(tmp_path)).collect()}
+    assert m[0, 1] == pytest.approx(D.warping_distance(got[0], got[1])[0])
+
+
 def test_learning(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, y double")
     assert sorted(tuple(r) for r in L.standardise(df, ["x", "y"]).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
