@@ -8,7 +8,7 @@ from motionloom.operators import segments as S
 from motionloom.operators.sliced import cut_by, running_sum, with_neighbours
 from motionloom.plans.adapters import PREDICTIONS_SQL, predictions
 from motionloom.plans.base import Registry
-from motionloom.runtime import table
+from motionloom.runtime import spread, table
 from motionloom.sources.tables import annotation_lines
 
 R = Registry()
@@ -249,7 +249,9 @@ def f7_head_f8_tail(spark, d):
   k AS (SELECT video_id, fps, n_frames, unnest(range(0, least(n_frames, 200))) AS k FROM v) SELECT video_id, count(*) AS n, sum(trunc(k / 25.0::DOUBLE * fps)::BIGINT)::BIGINT AS total FROM k WHERE trunc(k / 25.0::DOUBLE * fps) < n_frames GROUP BY video_id""")
 def w11_resample(spark, d):
     v = table(spark, d, "video_names").where("fps > 0 and n_frames > 0 and video_id is not null").select("video_id", "n_frames", "fps").distinct()
-    k = v.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n_frames"), F.lit(200)) - 1))).withColumn("source", (F.col("k") / 25.0 * F.col("fps")).cast("long"))
+    # Output frame k shows the time k / 25; the last one lies before the video's end.
+    last = F.ceil(F.col("n_frames") / F.col("fps") * 25.0)
+    k = spread(v).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("source", (F.col("k") / 25.0 * F.col("fps")).cast("long"))
     return k.where("source < n_frames").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.sum("source").alias("total"))
 
 

@@ -12,7 +12,7 @@ from motionloom.operators.features import decimated
 from motionloom.operators.spatial import POINTS
 from motionloom.plans.adapters import FINGERS, FRAMES_TR_SQL, GESTURES_SQL, PREDICTIONS_SQL, TRAINING_SQL, frames_em, frames_tr, gestures, predictions, training_rows
 from motionloom.plans.base import Registry
-from motionloom.runtime import table
+from motionloom.runtime import spread, table
 
 R = Registry()
 G = "WITH " + GESTURES_SQL
@@ -83,7 +83,7 @@ def p26_integer_fps(spark, d):
   SELECT video_id, count(*) AS kept FROM f WHERE i % step = 0 GROUP BY video_id""")
 def f4_decimation(spark, d):
     v = table(spark, d, "video_names").where("fps is not null and n_frames > 0 and video_id is not null").select("video_id", "fps", "n_frames").distinct()
-    f = v.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n_frames"), F.lit(100)) - 1)))
+    f = spread(v).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames").cast("long") - 1)))
     return f.where(decimated(F.col("i"), F.col("fps"))).groupBy("video_id").agg(F.count(F.lit(1)).alias("kept"))
 
 

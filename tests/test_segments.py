@@ -101,3 +101,14 @@ def test_slots_share_the_last_reference(spark):
     seg = spark.createDataFrame([("a", 0.1, 0.2, 1, "G"), ("a", 0.2, 1.2345, 2, "G")], "track_id string, start_time double, end_time double, labelid long, label string")
     assert [(r.slot_id, r.ms) for r in S.annotation_slots(seg).orderBy("slot").collect()] == [("ts1", 100), ("ts2", 200), ("ts3", 200), ("ts4", 1234)]
     assert sorted((r.slot_ref1, r.slot_ref2) for r in S.annotation_refs(seg).collect()) == [("ts1", "ts3"), ("ts3", "ts4")]
+
+
+def test_frames_to_the_end_of_a_video(spark, tmp_path):
+    from motionloom.plans import segments, tables
+
+    videos = [("a", 50.0, 1000), ("b", 12.5, 451), ("c", 29.97, 44998), ("d", 25.0, 1), ("e", None, 300), ("f", 30.0, None)]
+    spark.createDataFrame(videos, "video_id string, fps double, n_frames long").write.parquet(f"{tmp_path}/video_names.parquet")
+    sources = {v: [s for s in (int(k / 25.0 * fps) for k in range(3 * n)) if s < n] for v, fps, n in videos if fps and n}
+    assert {r.video_id: (r.n, r.total) for r in segments.w11_resample(spark, str(tmp_path)).collect()} == {v: (len(s), sum(s)) for v, s in sources.items()}
+    kept = {v: len(range(0, n, max(1, round(fps / 25)))) for v, fps, n in videos if fps and n}
+    assert {r.video_id: r.kept for r in tables.f4_decimation(spark, str(tmp_path)).collect()} == kept
