@@ -79,6 +79,32 @@ def normalised(value: Column, norm: Column) -> Column:
     return F.coalesce(F.try_divide(value, norm), F.lit(0.0))
 
 
+# Pairs of joints whose distances describe arms and hands, in the order of the network's input.
+BODY_PAIRS = (
+    ("left_wrist", "right_wrist"), ("left_elbow", "right_elbow"), ("left_elbow", "left_shoulder"), ("right_elbow", "right_shoulder"),
+    ("left_wrist", "left_shoulder"), ("right_wrist", "right_shoulder"), ("left_shoulder", "left_ear"), ("right_shoulder", "right_ear"),
+    ("left_thumb", "left_index"), ("right_thumb", "right_index"), ("left_thumb", "left_pinky"), ("right_thumb", "right_pinky"),
+)
+
+
+def network_features(lm: Column) -> Column:
+    """The 29 values of the network's input from a flat array of 23 body joints, in the reference's order.
+
+    Head rotation (3), nose (3), head size, brows and mouth (4), distances of arm and hand joints (12), wrists
+    from elbows (4), index fingers from the nose (2); all but the first seven in head sizes. Body joints have no face mesh:
+    rotation, brows and mouth opening are 0.0, and the ears tell the head size.
+    """
+    at = lambda name, axis: point(lm, JOINTS[name], axis)
+    gap = lambda a, b: distance(at(a, 0), at(a, 1), at(b, 0), at(b, 1))
+    head = gap("left_ear", "right_ear")
+    head = F.when(head != 0, head).otherwise(F.lit(1.0))
+    none = F.lit(0.0)
+    mouth = distance(point(lm, 9, 0), point(lm, 9, 1), point(lm, 10, 0), point(lm, 10, 1))
+    offsets = [at(f"{s}_wrist", a) - at(f"{s}_elbow", a) for a in (0, 1) for s in ("left", "right")]
+    scaled = [none, none, mouth, none, *[gap(a, b) for a, b in BODY_PAIRS], *offsets, gap("left_index", "nose"), gap("right_index", "nose")]
+    return F.array(none, none, none, *[at("nose", a) for a in range(3)], head, *[x / head for x in scaled])
+
+
 def bounded(df: DataFrame, by: Sequence[str], index: str, before: int, after: int, columns: dict, size: int = SIZE) -> DataFrame:
     """``columns`` (name to function of a window) over windows of at most that many rows back and ahead.
 

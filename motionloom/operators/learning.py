@@ -178,8 +178,12 @@ def score_windows(df: DataFrame, window: str, weights: Mapping[str, np.ndarray])
             if len(s) == 0:
                 yield pd.DataFrame({"has_motion": [], "p_gesture": [], "p_move": []}, dtype=float)
                 continue
-            x = np.stack([np.stack([np.asarray(f, dtype=float) for f in v]) for v in s])
-            yield pd.DataFrame(network_forward(x, shared.value).astype(float), columns=["has_motion", "p_gesture", "p_move"])
+            # Some windows at a time, as each takes far more room within the network than in the batch.
+            out = []
+            for at in range(0, len(s), 512):
+                x = np.stack([np.stack([np.asarray(f, dtype=float) for f in v]) for v in s.iloc[at : at + 512]])
+                out.append(network_forward(x, shared.value).astype(float))
+            yield pd.DataFrame(np.concatenate(out), columns=["has_motion", "p_gesture", "p_move"])
 
     return df.withColumn("_s", score(F.col(window))).select(*df.columns, "_s.*")
 

@@ -8,7 +8,7 @@ from motionloom.functions import strings as T
 from motionloom.functions.keys import dataset_key, dataset_key_sql
 from motionloom.operators import distance as D
 from motionloom.operators import learning as L
-from motionloom.operators.features import decimated
+from motionloom.operators.features import decimated, network_features, sliding_windows
 from motionloom.operators.spatial import POINTS
 from motionloom.plans.adapters import FINGERS, FRAMES_TR_SQL, GESTURES_SQL, PREDICTIONS_SQL, TRAINING_SQL, frames_em, frames_tr, gestures, predictions, training_rows
 from motionloom.plans.base import Registry
@@ -282,10 +282,8 @@ def m3_map(spark, d):
 
 @R.add("m4_m6_network_scores")
 def m4_m6_network_scores(spark, d):
-    from motionloom.operators.features import sliding_windows
-
-    f = frames_tr(spark, d).withColumn("v", F.slice("lm", 1, 29))
-    w = sliding_windows(f, ["label", "video"], "frame_idx", "v", 25, 5)
+    f = frames_tr(spark, d).withColumn("v", network_features(F.col("lm")))
+    w = sliding_windows(f, ["label", "video"], "frame_idx", "v", 25)
     return L.score_windows(w, "window", L.synthetic_network(29)).drop("window")
 
 

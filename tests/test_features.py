@@ -259,6 +259,24 @@ def test_network(spark):
     assert np.allclose([[r.has_motion, r.p_gesture, r.p_move] for r in out], y, atol=1e-5)
 
 
+def test_network_scores_every_window_of_arms_and_hands(spark, tmp_path):
+    lm = np.random.default_rng(6).random((30, 69))
+    rows = [("g", "SAGA", "KV0000123", k, v.tolist()) for k, v in enumerate(lm)]
+    spark.createDataFrame(rows, "label string, dataset string, video_id string, seq_no long, lm array<double>").write.parquet(f"{tmp_path}/training_frames.parquet")
+    got = tables.m4_m6_network_scores(spark, str(tmp_path)).orderBy("start").collect()
+    assert [r.start for r in got] == list(range(6))
+    j = lm.reshape(30, 23, 3)
+    gap = lambda a, b: np.linalg.norm(j[:, a, :2] - j[:, b, :2], axis=1)
+    pairs = [(15, 16), (13, 14), (13, 11), (14, 12), (15, 11), (16, 12), (11, 7), (12, 8), (21, 19), (22, 20), (21, 17), (22, 18)]
+    none = np.zeros(30)
+    offsets = [j[:, w, a] - j[:, e, a] for a in (0, 1) for w, e in ((15, 13), (16, 14))]
+    scaled = [none, none, gap(9, 10), none, *[gap(a, b) for a, b in pairs], *offsets, gap(19, 0), gap(20, 0)]
+    v = np.stack([none, none, none, *j[:, 0].T, gap(7, 8), *[x / gap(7, 8) for x in scaled]], axis=1)
+    assert v.shape == (30, 29)
+    want = L.network_forward(np.stack([v[k : k + 25] for k in range(6)]), L.synthetic_network(29))
+    assert np.allclose([[r.has_motion, r.p_gesture, r.p_move] for r in got], want, atol=1e-5)
+
+
 def test_strings(spark):
     one = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c(F.col("v"))).first()[0]
     assert one(T.standard_label, "No_Gesture") == "NOGESTURE" and one(T.standard_label, "my move_x") == "MYMOVEX" and one(T.standard_label, None) == "NOGESTURE"
