@@ -109,6 +109,17 @@ def test_leaks(spark):
     assert leaks.leaks(leaks.leaked_spans(df, spark.createDataFrame([], "item_id long, text string"))).count() == 0
 
 
+def test_repeated_quotes_count_once(spark):
+    w = item(1)
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    far = " " + "quite other words " * 300
+    quotes = {1: [(30, 45), (30, 44)], 2: [(30, 45), (60, 75)], 3: [(10, 30), (20, 40)], 4: [(10, 24), (18, 30), (11, 23)], 5: [(0, 10), (0, 9), (50, 60), (51, 60)]}
+    docs = spark.createDataFrame([(k, far.join(" ".join(w[a:b]) for a, b in q)) for k, q in quotes.items()], DOCS)
+    spans = leaks.leaked_spans(docs, bench).localCheckpoint()
+    assert {r.doc_id: r.words_found for r in leaks.leaks(spans).collect()} == {2: 30, 3: 30}
+    assert {r.doc_id: r.words_found for r in leaks.leaks(spans, share=0.1).collect()} == {1: 15, 2: 30, 3: 30, 4: 20, 5: 20}
+
+
 def test_leak_across_parts_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(leaks, "ITEM_BLOCK", 2)
     items = {k: item(k) for k in range(5)}
