@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -194,8 +195,15 @@ def sampled(df: DataFrame, label: str, shares: Mapping[str, float], seed: int =
 
 
 def augmented(df: DataFrame, vector: str, seed: int = 42, noise: float = 0.008, low: float = 0.97, high: float = 1.03) -> DataFrame:
-    """Two derived copies of each row besides the row itself: with noise, and scaled. Random, but the same for a seed and partitioning."""
+    """Two derived copies of each row besides the row itself: with noise of each value's own, and scaled. Random, but the same for a seed and partitioning."""
     plain = df.withColumn("kind", F.lit("original"))
-    noisy = df.withColumn("_n", F.randn(seed)).withColumn(vector, F.transform(vector, lambda x: x + F.col("_n") * noise)).drop("_n").withColumn("kind", F.lit("noise"))
+
+    def uniform(i: Column, part: int) -> Column:
+        return (F.pmod(F.xxhash64("_n", i, F.lit(part)), F.lit(1 << 52)) + 1) / float(1 << 52)
+
+    def normal(i: Column) -> Column:
+        return F.sqrt(-2 * F.ln(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 1))
+
+    noisy = df.withColumn("_n", F.rand(seed)).withColumn(vector, F.transform(vector, lambda x, i: x + normal(i) * noise)).drop("_n").withColumn("kind", F.lit("noise"))
     scaled = df.withColumn("_f", F.rand(seed + 1) * (high - low) + low).withColumn(vector, F.transform(vector, lambda x: x * F.col("_f"))).drop("_f").withColumn("kind", F.lit("scale"))
     return plain.unionByName(noisy).unionByName(scaled)

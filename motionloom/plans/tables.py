@@ -292,3 +292,13 @@ def m7_m8_augmented(spark, d):
     return L.augmented(frames_tr(spark, d).select("label", "video", "frame_idx", "lm"), "lm").groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@R.add("m7_m8_augmented_values")
+def m7_m8_augmented_values(spark, d):
+    """Per label and kind: values, their mean and deviation, and the mean of the deviations within each vector."""
+    a = L.augmented(frames_tr(spark, d).select("label", "video", "frame_idx", "lm"), "lm")
+    total = lambda f: F.aggregate("lm", F.lit(0.0), lambda acc, x: acc + f(x))
+    rows = a.select("label", "kind", F.size("lm").alias("n"), total(lambda x: x).alias("s"), total(lambda x: x * x).alias("q"))
+    rows = rows.withColumn("within", F.sqrt(F.greatest(F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(0.0))))
+    mean = F.sum("s") / F.sum("n")
+    spread_all = F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0)))
+    return rows.groupBy("label", "kind").agg(F.sum("n").alias("n_values"), _r(mean, "mean"), _r(spread_all, "deviation"), _r(F.avg("within"), "within_vectors"))

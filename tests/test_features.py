@@ -277,6 +277,15 @@ def test_network_scores_every_window_of_arms_and_hands(spark, tmp_path):
     assert np.allclose([[r.has_motion, r.p_gesture, r.p_move] for r in got], want, atol=1e-5)
 
 
+def test_noise_of_each_value(spark):
+    df = spark.range(400).select("id", F.array_repeat(F.lit(1.0), 69).alias("v"))
+    kinds = {k: np.array([r.v for r in L.augmented(df, "v").where(F.col("kind") == k).collect()]) for k in ("original", "noise", "scale")}
+    added = kinds["noise"] - 1
+    assert added.shape == (400, 69) and abs(added.mean()) < 0.0005 and added.std() == pytest.approx(0.008, rel=0.05)
+    assert added.std(axis=1).min() > 0.004 and abs(np.corrcoef(added[:, 0], added[:, 1])[0, 1]) < 0.25
+    assert np.ptp(kinds["scale"], axis=1).max() < 1e-12 and (abs(kinds["scale"] - 1) <= 0.03).all() and (kinds["original"] == 1).all()
+
+
 def test_strings(spark):
     one = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c(F.col("v"))).first()[0]
     assert one(T.standard_label, "No_Gesture") == "NOGESTURE" and one(T.standard_label, "my move_x") == "MYMOVEX" and one(T.standard_label, None) == "NOGESTURE"
