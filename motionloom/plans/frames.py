@@ -17,6 +17,7 @@ TR = "WITH " + FRAMES_TR_SQL
 EM = "WITH " + FRAMES_EM_SQL
 KEY = "label, video, frame_idx"
 BY = ["label", "video"]
+PAD = 800  # frames of a padded sequence, as the reference has them
 
 
 def _r(c, name, n=6):
@@ -95,13 +96,13 @@ def f6_drop_repeats(spark, d):
     return X.drop_repeats(frames_tr(spark, d), BY, "frame_idx", "lm").select(*BY, "frame_idx")
 
 
-@R.add("f9_pad", f"""{TR}, m AS (SELECT label, video, max(frame_idx) AS last FROM frames_tr GROUP BY label, video), p AS (SELECT label, video, last, unnest(range(last + 1, 20)) AS frame_idx FROM m)
-  SELECT label, video, frame_idx, round(lm[1], 6) AS x FROM frames_tr WHERE frame_idx < 20 UNION ALL SELECT p.label, p.video, p.frame_idx, round(f.lm[1], 6) FROM p JOIN frames_tr f ON f.label = p.label AND f.video = p.video AND f.frame_idx = p.last""")
+@R.add("f9_pad", f"""{TR}, m AS (SELECT label, video, max(frame_idx) AS last FROM frames_tr GROUP BY label, video), p AS (SELECT label, video, last, unnest(range(last + 1, {PAD})) AS frame_idx FROM m)
+  SELECT label, video, frame_idx, round(lm[1], 6) AS x FROM frames_tr WHERE frame_idx < {PAD} UNION ALL SELECT p.label, p.video, p.frame_idx, round(f.lm[1], 6) FROM p JOIN frames_tr f ON f.label = p.label AND f.video = p.video AND f.frame_idx = p.last""")
 def f9_pad(spark, d):
     f = frames_tr(spark, d).select(*BY, "frame_idx", F.get("lm", F.lit(0)).alias("x"))
-    last = f.groupBy(*BY).agg(F.max(F.struct("frame_idx", "x")).alias("l")).where("l.frame_idx < 19")
-    pad = last.select(*BY, F.explode(F.sequence(F.col("l.frame_idx") + 1, F.lit(19).cast("long"))).alias("frame_idx"), F.col("l.x").alias("x"))
-    return f.where("frame_idx < 20").unionByName(pad).select(*BY, "frame_idx", _r(F.col("x"), "x"))
+    last = f.groupBy(*BY).agg(F.max(F.struct("frame_idx", "x")).alias("l")).where(F.col("l.frame_idx") < PAD - 1)
+    pad = last.select(*BY, F.explode(F.sequence(F.col("l.frame_idx") + 1, F.lit(PAD - 1).cast("long"))).alias("frame_idx"), F.col("l.x").alias("x"))
+    return f.where(F.col("frame_idx") < PAD).unionByName(pad).select(*BY, "frame_idx", _r(F.col("x"), "x"))
 
 
 @R.add("m13_mirror", f"{TR} SELECT {KEY}, round(-{_jt(12, 0)}, 6) AS left_shoulder_x, round({_jt(16, 1)}, 6) AS left_wrist_y, round({_jt(21, 2)}, 6) AS right_thumb_z FROM frames_tr")

@@ -246,7 +246,7 @@ def f7_head_f8_tail(spark, d):
 
 
 @R.add("w11_resample", """WITH v AS (SELECT DISTINCT video_id, n_frames, fps FROM video_names WHERE fps > 0 AND n_frames IS NOT NULL AND video_id IS NOT NULL),
-  k AS (SELECT video_id, fps, n_frames, unnest(range(0, least(n_frames, 200))) AS k FROM v) SELECT video_id, count(*) AS n, sum(trunc(k / 25.0::DOUBLE * fps)::BIGINT)::BIGINT AS total FROM k WHERE trunc(k / 25.0::DOUBLE * fps) < n_frames GROUP BY video_id""")
+  k AS (SELECT video_id, fps, n_frames, unnest(range(0, ceil(n_frames / fps * 25)::BIGINT + 1)) AS k FROM v) SELECT video_id, count(*) AS n, sum(trunc(k / 25.0::DOUBLE * fps)::BIGINT)::BIGINT AS total FROM k WHERE trunc(k / 25.0::DOUBLE * fps) < n_frames GROUP BY video_id""")
 def w11_resample(spark, d):
     v = table(spark, d, "video_names").where("fps > 0 and n_frames > 0 and video_id is not null").select("video_id", "n_frames", "fps").distinct()
     # Output frame k shows the time k / 25; the last one lies before the video's end.

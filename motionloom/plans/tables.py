@@ -79,7 +79,7 @@ def p26_integer_fps(spark, d):
     return table(spark, d, "video_names").select("video_id", F.col("fps").cast("int").alias("fps"))
 
 
-@R.add("f4_decimation", """WITH v AS (SELECT DISTINCT video_id, fps, n_frames FROM video_names WHERE fps IS NOT NULL AND n_frames > 0 AND video_id IS NOT NULL), f AS (SELECT video_id, greatest(1, round_even(fps / 25, 0)::BIGINT) AS step, unnest(range(0, least(n_frames, 100))) AS i FROM v)
+@R.add("f4_decimation", """WITH v AS (SELECT DISTINCT video_id, fps, n_frames FROM video_names WHERE fps IS NOT NULL AND n_frames > 0 AND video_id IS NOT NULL), f AS (SELECT video_id, greatest(1, round_even(fps / 25, 0)::BIGINT) AS step, unnest(range(0, n_frames)) AS i FROM v)
   SELECT video_id, count(*) AS kept FROM f WHERE i % step = 0 GROUP BY video_id""")
 def f4_decimation(spark, d):
     v = table(spark, d, "video_names").where("fps is not null and n_frames > 0 and video_id is not null").select("video_id", "fps", "n_frames").distinct()
@@ -231,13 +231,15 @@ def j11_dataset_tags(spark, d):
     return v.select("video_id", dataset_key(T.before_underscore(F.col("path"))).alias("dataset")).where("dataset is not null")
 
 
-@R.add("j5_positional", "WITH a AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY seq_no) AS k, seq_no FROM (SELECT DISTINCT label, seq_no FROM training_frames)), b AS (SELECT label, k, seq_no FROM a WHERE k % 2 = 0) SELECT a.label, a.k, b.seq_no FROM a JOIN b ON a.label = b.label AND a.k = b.k")
+@R.add("j5_positional", "WITH a AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY seq_no) AS k, seq_no FROM (SELECT DISTINCT label, seq_no FROM training_frames)), b AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY seq_no DESC) AS k, seq_no AS from_end FROM a) SELECT a.label, a.k, a.seq_no, b.from_end FROM a JOIN b ON a.label = b.label AND a.k = b.k")
 def j5_positional(spark, d):
     from motionloom.operators.sliced import cut_by, running_sum
 
     rows = table(spark, d, "training_frames").select("label", "seq_no").distinct().where("label is not null and seq_no is not null")
     a = running_sum(cut_by(rows, "seq_no", 65536), ["label"], ["seq_no"], F.lit(1), "k").select("label", "k", "seq_no")
-    return a.select("label", "k").join(a.where("k % 2 = 0"), ["label", "k"])
+    back = rows.withColumn("order", -F.col("seq_no"))
+    b = running_sum(cut_by(back, "order", 65536), ["label"], ["order"], F.lit(1), "k").select("label", "k", F.col("seq_no").alias("from_end"))
+    return a.join(b, ["label", "k"])
 
 
 @R.add("u3_union_min", f"{G}, p AS (SELECT video, hand_peak_speed AS v FROM gestures UNION ALL SELECT video, elbow_peak_speed FROM gestures) SELECT video, min(v) AS lowest FROM p GROUP BY video")
@@ -247,10 +249,10 @@ def u3_union_min(spark, d):
     return p.groupBy("video").agg(F.min("v").alias("lowest"))
 
 
-@R.add("u5_append", f"{TR} SELECT label, kind, count(*) AS n FROM (SELECT label, 'plain' AS kind FROM training_rows UNION ALL SELECT label, 'again' FROM training_rows WHERE seq_no % 2 = 0) GROUP BY label, kind")
+@R.add("u5_append", f"{TR} SELECT label, kind, count(*) AS n FROM (SELECT label, 'plain' AS kind FROM training_rows UNION ALL SELECT label, 'again' FROM training_rows) GROUP BY label, kind")
 def u5_append(spark, d):
     t = training_rows(spark, d).select("label", "seq_no")
-    both = t.withColumn("kind", F.lit("plain")).unionByName(t.where("seq_no % 2 = 0").withColumn("kind", F.lit("again")))
+    both = t.withColumn("kind", F.lit("plain")).unionByName(t.withColumn("kind", F.lit("again")))
     return both.groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
