@@ -11,13 +11,13 @@ from motionloom.functions.keys import video_key
 from motionloom.functions.labels import label_class
 from motionloom.llm.bpe import token_ids
 from motionloom.llm.clusters import describe_clusters, similarity_clusters
-from motionloom.llm.leaks import leaked_spans, leaks
+from motionloom.llm.leaks import leaked_spans, leaks, removal_spans
 from motionloom.llm.quantiles import merge_counts, percentiles, value_counts
 from motionloom.llm.runs import collapse_runs
 from motionloom.llm.splits import group_of_records, split_records
 from motionloom.llm.textstats import text_statistics
 from motionloom.operators.outliers import implausible_peaks
-from motionloom.runtime import table
+from motionloom.runtime import cut, table
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -119,6 +119,11 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("words_found").alias("most_words"))
 
 
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    found = removal_spans(table(spark, d, "documents"), cut(_spans(spark, d)))
+    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(table(spark, d, "documents")).where("not_prose").select("doc_id")
 
@@ -130,6 +135,6 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         p1_found, p1_runs, p2_found, p2_clusters, p4_found, p4_splits, p5_video_percentiles, p5_day_percentiles,
-        p5_days_combined, p6_ids, p7_found, p7_items, p8_found, p8_stats,
+        p5_days_combined, p6_ids, p7_found, p7_items, p7_spans, p8_found, p8_stats,
     )
     return {f.__name__: f for f in every}

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motionloom.llm import bpe, fmindex, leaks, prose, textstats
+from motionloom.runtime import cut
 
 DOCS = "doc_id long, text string"
 
@@ -115,7 +116,7 @@ def test_repeated_quotes_count_once(spark):
     far = " " + "quite other words " * 300
     quotes = {1: [(30, 45), (30, 44)], 2: [(30, 45), (60, 75)], 3: [(10, 30), (20, 40)], 4: [(10, 24), (18, 30), (11, 23)], 5: [(0, 10), (0, 9), (50, 60), (51, 60)]}
     docs = spark.createDataFrame([(k, far.join(" ".join(w[a:b]) for a, b in q)) for k, q in quotes.items()], DOCS)
-    spans = leaks.leaked_spans(docs, bench).localCheckpoint()
+    spans = cut(leaks.leaked_spans(docs, bench))
     assert {r.doc_id: r.words_found for r in leaks.leaks(spans).collect()} == {2: 30, 3: 30}
     assert {r.doc_id: r.words_found for r in leaks.leaks(spans, share=0.1).collect()} == {1: 15, 2: 30, 3: 30, 4: 20, 5: 20}
 
@@ -128,6 +129,49 @@ def test_leak_across_parts_and_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in leaks.leaks(leaks.leaked_spans(docs, bench)).collect()) == [(1, 1), (3, 3)]
 
 
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Standing text and rare phrases are counted over all items, so blocks and scans give the same spans."""
+    lead = "Read the clip and answer in one short sentence please".split()
+    items = {k: (lead if k % 2 else []) + item(k % 9, 50) + item(100 + k, 20) for k in range(24)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(k, " ".join(items[k][k % 5 : 45 + k])) for k in items] + [(99, " ".join(lead))], DOCS)
+    got = []
+    for size, blocks in ((2_000, 8), (5, 2), (1, 3)):
+        monkeypatch.setattr(leaks, "ITEM_BLOCK", size)
+        monkeypatch.setattr(leaks, "PASS_BLOCKS", blocks)
+        got.append(sorted(map(tuple, leaks.leaked_spans(docs, bench).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 24
+
+
+def test_prepared_items(spark):
+    lead, end = "a b c d e".split(), "what do you see there".split()
+    words = {k: lead + item(k, 12) + end for k in range(5)} | {9: "one two".split(), 10: [], 11: lead + end}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in words.items()] * 2, "item_id long, text string")
+    got = {r.item: r for r in leaks.prepared_items(bench).collect()}
+    assert {k: r.words for k, r in got.items()} == words
+    assert {(r.own_from, r.own_to) for k, r in got.items() if k < 5} == {(5, 16)}
+    assert (got[9].own_from, got[9].own_to, got[9].phrases, got[10].phrases) == (0, 1, [0], [])
+    assert (got[11].own_from, got[11].own_to) == (0, 9)
+    assert got[0].phrases == list(range(3, 17))  # the phrases of the instruction and of the question aren't rare
+
+
+def test_removal_spans(spark):
+    w, v = item(1), item(2)
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v))], "item_id long, text string")
+    texts = {
+        1: "Before it, " + " ".join(w[10:60]) + ", and after.",
+        2: "<p>One</p> " + " ".join(w[:45]).replace(" ", "  \n") + " between them " + " ".join(v[20:70]) + "!",
+        3: " ".join(w[30:60]) + " " + " ".join(w[30:60]) + " end",
+        4: "Nothing at all here.",
+        5: None,
+    }
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    found = leaks.removal_spans(docs, cut(leaks.leaked_spans(docs, bench))).collect()
+    told = sorted((r.doc_id, leaks.words_of(texts[r.doc_id][r.from_char : r.to_char]), list(r["items"])) for r in found)
+    assert told == [(1, w[10:60], [1]), (2, w[:45], [1]), (2, v[20:70], [2]), (3, w[30:60] * 2, [1])]
+    assert all(texts[r.doc_id][r.to_char - 1].isalnum() and texts[r.doc_id][r.from_char].isalnum() for r in found)
+
+
 def test_words_of():
     assert leaks.words_of("Caf&eacute; <b>one</b> partner’s x­yz Ｗide нope isnâ€™t") == ["cafe", "one", "partners", "xyz", "wide", "hope", "isnt"]
 
