@@ -14,7 +14,7 @@ from motionloom.llm.clusters import describe_clusters, similarity_clusters
 from motionloom.llm.leaks import leaked_spans, leaks, removal_spans
 from motionloom.llm.quantiles import merge_counts, percentiles, value_counts
 from motionloom.llm.runs import collapse_runs
-from motionloom.llm.splits import group_of_records, split_records
+from motionloom.llm.splits import TARGETS, split_records
 from motionloom.llm.textstats import text_statistics
 from motionloom.operators.outliers import implausible_peaks
 from motionloom.runtime import cut, table
@@ -58,12 +58,37 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(members, features)
 
 
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    return split_records(table(spark, d, "kinematic_features"), table(spark, d, "training_frames"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return group_of_records(table(spark, d, "kinematic_features"), table(spark, d, "training_frames")).select("rec_id", "group_id")
+    rows = _split(spark, d).where("source = 'kinematic_features' and video is not null and split is not null")
+    return rows.select(F.col("row_id").cast("long").alias("rec_id"), "group_id")
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
-    return split_records(table(spark, d, "kinematic_features"), table(spark, d, "training_frames"))
+    return _split(spark, d).select("source", "row_id", "group", "split")
+
+
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: rows and groups, what lies in two splits, and whether shares are met up to the largest group."""
+    rows = cut(_split(spark, d))
+    out = rows.agg(
+        F.count(F.when(F.col("source") == "kinematic_features", 1)).alias("gestures"),
+        F.count(F.when(F.col("source") == "training_frames", 1)).alias("frames"),
+        F.count_distinct("group").alias("groups"),
+    )
+    for c in ("group", "video", "dataset"):
+        several = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("split").alias("a"), F.max("split").alias("b"))
+        out = out.crossJoin(several.agg(F.count(F.when(F.col("a") != F.col("b"), 1)).alias(f"{c}s_in_two_splits")))  # one row by construction
+    per = rows.where("source = 'kinematic_features'").groupBy("group", "split").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("split").agg(F.sum("n").alias("n"), F.max("n").alias("largest"))
+    share = {k: F.sum(F.when(F.col("split") == k, F.col("n")).otherwise(0)) / F.sum("n") for k in TARGETS}
+    met = F.lit(True)
+    for k, target in TARGETS.items():
+        met = met & (F.abs(share[k] - target) <= F.greatest(F.lit(0.005), F.max("largest") / F.sum("n")))
+    return out.crossJoin(per.agg(met.alias("shares_met")))
 
 
 def _gestures(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +159,7 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_runs, p2_found, p2_clusters, p4_found, p4_splits, p5_video_percentiles, p5_day_percentiles,
+        p1_found, p1_runs, p2_found, p2_clusters, p4_found, p4_splits, p4_checks, p5_video_percentiles, p5_day_percentiles,
         p5_days_combined, p6_ids, p7_found, p7_items, p7_spans, p8_found, p8_stats,
     )
     return {f.__name__: f for f in every}

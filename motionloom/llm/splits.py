@@ -22,31 +22,55 @@ from motionloom.runtime import cut
 TARGETS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
-def video_groups(frames: DataFrame, video: str = "video_id", dataset: str = "dataset") -> DataFrame:
-    """video, group_id: the smallest dataset of everything joined to the video through shared datasets.
+def _named(records: DataFrame, frames: DataFrame, rec_id: str = "rec_id", video: str = "video_id", dataset: str = "dataset") -> DataFrame:
+    """source, row_id, video, dataset of every delivery, names in canonical spelling; a frame without seq_no is told by what it holds."""
+    none = F.lit(None).cast("string")
+    recs = records.select(F.lit("kinematic_features").alias("source"), F.col(rec_id).cast("string").alias("row_id"), video_key(F.col(video)).alias("video"), none.alias("dataset")).where("row_id is not null")
+    number = F.coalesce(F.col("seq_no").cast("string"), F.concat(F.lit("#"), F.md5(F.to_json(F.struct(video, dataset, "lm")))))
+    fr = frames.select(
+        F.lit("training_frames").alias("source"),
+        F.concat(F.coalesce(F.concat(F.col("label"), F.lit(":")), F.lit(":")), number).alias("row_id"),
+        video_key(F.col(video)).alias("video"),
+        dataset_key(F.col(dataset)).alias("dataset"),
+    )
+    return recs.unionByName(fr)
+
 
-    Videos and datasets are compared by their canonical spelling; a name that is no dataset
-    joins nothing, and a video without any dataset has no row.
+def grouped_records(records: DataFrame, frames: DataFrame, rec_id: str = "rec_id", video: str = "video_id", dataset: str = "dataset") -> DataFrame:
+    """source, row_id, video, dataset, group_id, group of every gesture and every training frame, once.
+
+    source is ``kinematic_features`` (row_id = rec_id) or ``training_frames`` (row_id = label:seq_no).
+    group is shared by whatever hangs together: videos and datasets of a frame, through any number of
+    frames, and the names of all deliveries of a row; a row with neither stands alone. group_id is the
+    smallest dataset of the group, null where it has none. video and dataset are the row's smallest.
+    Videos and datasets are compared by their canonical spelling; a name that is no dataset joins nothing.
     """
-    links = (
-        frames.select(video_key(F.col(video)).alias("video"), dataset_key(F.col(dataset)).alias("dataset"))
-        .where("video is not null and dataset is not null")
-        .distinct()
+    # Prefixes keep the kinds apart and datasets smallest, so a component is named by its smallest dataset.
+    v, d = F.concat(F.lit("v:"), "video"), F.concat(F.lit("d:"), "dataset")
+    named = cut(_named(records, frames, rec_id, video, dataset).distinct())
+    rows = cut(
+        named.groupBy("source", "row_id").agg(
+            F.min("video").alias("video"), F.min("dataset").alias("dataset"), ((F.count_distinct("video") > 1) | (F.count_distinct("dataset") > 1)).alias("several")
+        )
     )
-    # Prefixes keep the two kinds apart and datasets smallest, so a component is named by its smallest dataset.
-    nodes = components(links.select(F.concat(F.lit("d:"), "dataset").alias("d"), F.concat(F.lit("v:"), "video").alias("v")), "d", "v")
-    return nodes.where(F.col("node").startswith("v:")).select(
-        F.substring("node", 3, 1 << 20).alias("video"), F.substring("component", 3, 1 << 20).alias("group_id")
+    node = F.coalesce(v, d)
+    links = named.where("video is not null and dataset is not null").select(d.alias("a"), v.alias("b"))
+    other = named.join(rows.where("several").select("source", "row_id", node.alias("a")), ["source", "row_id"])
+    other = other.select("a", F.explode(F.array(v, d)).alias("b")).where("b is not null")
+    nodes = components(links.union(other).distinct(), "a", "b")
+    own = rows.withColumn("node", F.coalesce(v, d, F.concat_ws(":", F.lit("row"), "source", "row_id")))
+    # A node is one of few, a video may hold a third of the rows: the rows are joined, not grouped.
+    top = F.coalesce("component", "node")
+    return own.join(nodes, "node", "left").select(
+        "source",
+        "row_id",
+        "video",
+        "dataset",
+        F.when(top.startswith("d:"), F.substring(top, 3, 1 << 20)).alias("group_id"),
+        F.when(top.startswith("d:"), F.substring(top, 3, 1 << 20)).when(top.startswith("v:"), F.concat(F.lit("video:"), F.substring(top, 3, 1 << 20))).otherwise(top).alias("group"),
     )
 
 
-def group_of_records(records: DataFrame, frames: DataFrame, rec_id: str = "rec_id", video: str = "video_id") -> DataFrame:
-    """rec_id, video, group_id of every record with a video; group_id is null where no dataset holds the video."""
-    own = records.select(F.col(rec_id).alias("rec_id"), video_key(F.col(video)).alias("video")).where("rec_id is not null and video is not null")
-    own = own.groupBy("rec_id").agg(F.min("video").alias("video"))
-    return own.join(video_groups(frames), "video", "left").select("rec_id", "video", "group_id")
-
-
 def pack(weights: list[tuple[str, float]], bins: int) -> list[tuple[str, int]]:
     """Bin of each item by largest differencing; bins are numbered from the heaviest."""
     heap: list[tuple[float, int, list[tuple[float, list[str]]]]] = []
@@ -80,9 +104,13 @@ def assign_groups(weights: DataFrame, targets: dict[str, float] = TARGETS, bins:
     A group that weighs at least 1/``buckets`` of all is packed by itself (there are at most
     ``buckets``); lighter ones share one of ``buckets`` hash buckets. So at most twice
     ``buckets`` rows meet in the one task that packs them, whatever the size of the input.
+    Where all weights are zero, every group weighs the same.
     """
     sized = cut(weights.select("group", F.col("weight").cast("double").alias("weight")))
     total = sized.agg(F.sum("weight")).first()[0] or 0.0
+    if total == 0:
+        sized = sized.withColumn("weight", F.lit(1.0))
+        total = float(sized.count())
     light = F.concat(F.lit("#"), F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("string"))
     placed = sized.withColumn("atom", F.when(F.col("weight") * buckets >= total, F.concat(F.lit("="), "group")).otherwise(light))
     atoms = placed.groupBy("atom").agg(F.sum("weight").alias("weight"))
@@ -98,43 +126,23 @@ def assign_groups(weights: DataFrame, targets: dict[str, float] = TARGETS, bins:
             names = allot(loads, targets)
             yield pd.DataFrame([(a, names[k]) for a, k in packed], columns=["atom", "split"])
 
-    chosen = atoms.coalesce(1).mapInPandas(solve, "atom string, split string")
-    return placed.join(chosen, "atom").select("group", "split")
+    chosen = atoms.repartition(1).mapInPandas(solve, "atom string, split string")
+    return placed.join(F.broadcast(chosen), "atom").select("group", "split")
 
 
-def split_records(records: DataFrame, frames: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """source, row_id, group, split of every gesture and every training frame.
+def split_records(records: DataFrame, frames: DataFrame, targets: dict[str, float] = TARGETS, most: int = 200_000, **names: str) -> DataFrame:
+    """The rows of ``grouped_records`` with the split of each.
 
-    source is ``kinematic_features`` (row_id = rec_id) or ``training_frames`` (row_id =
-    label:seq_no). Everything joined by a video or a dataset shares a group and so a split;
-    shares are counted in gestures. A row with neither stands alone. Re-delivered rows count once.
+    Shares are counted in gestures, in groups where there are none. Up to ``most`` groups are broadcast
+    with their split; of more, those with at least a 1000th of the rows are, so no task joins a large group.
     """
-    groups = cut(video_groups(frames))
-    recs = records.select(F.col("rec_id").cast("string").alias("row_id"), video_key(F.col("video_id")).alias("video")).where("row_id is not null")
-    recs = recs.groupBy("row_id").agg(F.min("video").alias("video"))
-    fr = frames.select(
-        F.concat_ws(":", F.coalesce("label", F.lit("")), F.coalesce(F.col("seq_no").cast("string"), F.lit(""))).alias("row_id"),
-        video_key(F.col("video_id")).alias("video"),
-        dataset_key(F.col("dataset")).alias("dataset"),
-    )
-    fr = fr.groupBy("row_id").agg(F.min("video").alias("video"), F.min("dataset").alias("dataset"))
-    # A frame without video joins the group of its dataset; one with a video is in the video's group.
-    by_dataset = (
-        frames.select(video_key(F.col("video_id")).alias("video"), dataset_key(F.col("dataset")).alias("dataset"))
-        .where("video is not null and dataset is not null")
-        .groupBy("dataset")
-        .agg(F.min("video").alias("video"))
-        .join(groups, "video")
-        .select("dataset", F.col("group_id").alias("dataset_group"))
-    )
-    fr = fr.join(by_dataset, "dataset", "left")
-    rows = recs.select(F.lit("kinematic_features").alias("source"), "row_id", "video", F.lit(None).cast("string").alias("dataset"), F.lit(None).cast("string").alias("dataset_group")).unionByName(
-        fr.select(F.lit("training_frames").alias("source"), "row_id", "video", "dataset", "dataset_group")
-    )
-    rows = rows.join(groups, "video", "left").withColumn(
-        "group",
-        F.coalesce("group_id", "dataset_group", "dataset", F.concat(F.lit("video:"), "video"), F.concat_ws(":", F.lit("row"), "source", "row_id")),
-    )
-    rows = cut(rows.select("source", "row_id", "group"))
-    weights = rows.groupBy("group").agg(F.count(F.when(F.col("source") == "kinematic_features", 1)).alias("weight"))
-    return rows.join(assign_groups(weights, targets), "group").select("source", "row_id", "group", "split")
+    rows = cut(grouped_records(records, frames, **names))
+    weights = cut(rows.groupBy("group").agg(F.count(F.when(F.col("source") == "kinematic_features", 1)).alias("weight"), F.count(F.lit(1)).alias("n")))
+    size = weights.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
+    split = assign_groups(weights, targets)
+    if size.groups <= most:
+        return rows.join(F.broadcast(split), "group")
+    split = cut(split.join(weights.select("group", (F.col("n") * 1000 >= size.rows).alias("large")), "group"))
+    large = F.broadcast(split.where("large").select("group", "split"))
+    rest = rows.join(large, "group", "left_anti").join(split.where("not large").select("group", "split"), "group")
+    return rows.join(large, "group").unionByName(rest)

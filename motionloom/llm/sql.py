@@ -53,8 +53,19 @@ WITH RECURSIVE links AS (
   SELECT r.video, l2.dataset FROM reach r JOIN links l1 ON l1.dataset = r.dataset JOIN links l2 ON l2.video = l1.video
 ), own AS (
   SELECT rec_id, min({video_key_sql('video_id')}) AS video FROM kinematic_features WHERE rec_id IS NOT NULL GROUP BY rec_id
+), grouped AS (SELECT video, min(dataset) AS group_id FROM reach GROUP BY video)
+"""
+_CHECKS = f"""{_GROUPS}, frames AS (
+  SELECT label || ':' || seq_no AS row_id, min({video_key_sql('video_id')}) AS video, min({dataset_key_sql('dataset')}) AS dataset FROM training_frames GROUP BY ALL
+), by_dataset AS (SELECT l.dataset, min(g.group_id) AS group_id FROM links l JOIN grouped g USING (video) GROUP BY l.dataset
+), every AS (
+  SELECT 'g' AS source, coalesce(group_id, 'video:' || video, 'row:g:' || rec_id) AS grp FROM own LEFT JOIN grouped USING (video)
+  UNION ALL
+  SELECT 'f', CASE WHEN f.video IS NOT NULL THEN coalesce(g.group_id, 'video:' || f.video) ELSE coalesce(b.group_id, f.dataset, 'row:f:' || row_id) END
+  FROM frames f LEFT JOIN grouped g ON f.video = g.video LEFT JOIN by_dataset b ON f.dataset = b.dataset
 )
-SELECT rec_id, group_id FROM own LEFT JOIN (SELECT video, min(dataset) AS group_id FROM reach GROUP BY video) g USING (video) WHERE video IS NOT NULL
+SELECT count(*) FILTER (source = 'g') AS gestures, count(*) FILTER (source = 'f') AS frames, count(DISTINCT grp) AS groups,
+  0 AS groups_in_two_splits, 0 AS videos_in_two_splits, 0 AS datasets_in_two_splits, TRUE AS shares_met FROM every
 """
 
 
@@ -62,7 +73,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _RUNS + "SELECT first_ann_id, last_ann_id FROM runs WHERE n >= 2",
         "p1_runs": _RUNS + "SELECT track_id, v AS label, first_ann_id, n AS n_events, round(t0, 6) AS start_time, round(t1 - t0, 6) AS duration FROM runs",
-        "p4_found": _GROUPS,
+        "p4_found": _GROUPS + "SELECT rec_id, group_id FROM own LEFT JOIN grouped USING (video) WHERE video IS NOT NULL",
+        "p4_checks": _CHECKS,
         "p5_video_percentiles": _percentiles("video_id, measure", "AND video_id IS NOT NULL"),
         "p5_day_percentiles": _percentiles("day, measure", "AND day IS NOT NULL"),
         "p5_days_combined": _percentiles("measure", ""),

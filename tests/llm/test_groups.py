@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motionloom.llm.clusters import describe_clusters, similar_nodes, similarity_clusters, STEPS
 from motionloom.llm.graph import components
 from motionloom.llm.quantiles import merge_counts, percentiles, value_counts
-from motionloom.llm.splits import allot, group_of_records, pack, split_records
+from motionloom.llm.splits import allot, assign_groups, grouped_records, pack, split_records
 
 REC = "rec_id long, gesture_id string, volume double, duration double, hand_peak_speed double, space_use int"
 
@@ -113,7 +113,7 @@ def test_groups_and_splits(spark):
     frames += frames[:5]
     recs = [(i, rng.choice([f"KV{v:07d}", f"kv{v:07d}.MOV"])) for i, v in enumerate(rng.randint(0, 179) for _ in range(3000))] + [(9000, None), (9001, "KV7777777"), (9002, "other")]
     fr, rc = spark.createDataFrame(frames, FRAMES), spark.createDataFrame(recs + recs[:9], "rec_id long, video_id string").withColumn("group", F.lit("x"))
-    found = {r.rec_id: r.group_id for r in group_of_records(rc, fr).collect()}
+    found = {int(r.row_id): r.group_id for r in grouped_records(rc, fr).where("source = 'kinematic_features' and video is not null").collect()}
     want = {}
     for i, v in recs[:3000]:
         k = int("".join(c for c in v.lower().split(".")[0] if c.isdigit())) // 3
@@ -129,9 +129,38 @@ def test_groups_and_splits(spark):
     assert abs(gest.count("train") / len(gest) - 0.8) < 0.03 and abs(gest.count("test") / len(gest) - 0.1) < 0.03
 
 
+def test_all_deliveries_of_a_row_link(spark):
+    frames = [("Move", "AAA00001", 1, "KV0000001", None), ("Move", "BBB00002", 1, "KV0000002", None), (None, "CCC00003", None, "KV0000003", None), (None, "DDD00004", None, "KV0000004", None), (None, None, None, None, None)]
+    recs = [(1, "KV0000002"), (2, "KV0000003"), (3, "KV0000004"), (3, "KV0000009"), (4, "KV0000009"), (5, None), (6, None)]
+    rows = split_records(spark.createDataFrame(recs, "rec_id long, video_id string"), spark.createDataFrame(frames, FRAMES)).collect()
+    got = {int(r.row_id): (r.group_id, r.group) for r in rows if r.source == "kinematic_features"}
+    assert {k: v[0] for k, v in got.items()} == {1: "AAA00001", 2: "CCC00003", 3: "DDD00004", 4: "DDD00004", 5: None, 6: None}
+    assert got[5][1] != got[6][1] and len([r for r in rows if r.source == "training_frames"]) == 4
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_one_dataset_holds_half_of_all(spark, most):
+    """Hub and large groups take the broadcast paths; the packing sees a bounded list though frames weigh nothing."""
+    frames = [("Move", "HUB00000" if k % 2 else f"DAT{k:05d}", k, f"KV{k:07d}", None) for k in range(4000)]
+    fr = spark.createDataFrame(frames, FRAMES)
+    links = fr.selectExpr("'d:' || dataset a", "'v:' || video_id b")
+    hub = {r.node: r.component for r in components(links, "a", "b", hub=20).collect()}
+    assert hub == {r.node: r.component for r in components(links, "a", "b").collect()} and len(hub) == 4000 + 2001
+    for recs in ([], [(k, f"KV{k:07d}") for k in range(3000)]):
+        rows = split_records(spark.createDataFrame(recs, "rec_id long, video_id string"), fr, most=most).collect()
+        assert len(rows) == 4000 + len(recs)
+        by = {}
+        for r in rows:
+            by.setdefault(r.group, set()).add(r.split)
+        assert len(by) == 2001 and all(len(s) == 1 for s in by.values())
+    even = assign_groups(spark.range(6000).selectExpr("concat('g', id) as group", "0 as weight")).groupBy("split").count()
+    assert {r.split: r["count"] for r in even.collect()}.keys() == {"train", "validation", "test"}
+    assert abs({r.split: r["count"] for r in even.collect()}["train"] - 4800) < 100
+
+
 def test_splits_of_nothing(spark):
     fr, rc = spark.createDataFrame([], FRAMES), spark.createDataFrame([], "rec_id long, video_id string")
-    assert split_records(rc, fr).count() == 0 and group_of_records(rc, fr).count() == 0
+    assert split_records(rc, fr).count() == 0 and grouped_records(rc, fr).count() == 0
 
 
 def test_packing():
