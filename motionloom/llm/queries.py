@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motionloom.functions.keys import video_key
 from motionloom.functions.labels import label_class
 from motionloom.llm.bpe import token_ids
-from motionloom.llm.clusters import describe_clusters, similarity_clusters
+from motionloom.llm.clusters import banding_recall, describe_clusters, grid_nodes, similarity_clusters
 from motionloom.llm.leaks import leaked_spans, leaks, removal_spans
 from motionloom.llm.quantiles import merge_counts, percentiles, value_counts
 from motionloom.llm.runs import collapse_runs
@@ -58,6 +58,10 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(members, features)
 
 
+def p2_banding_recall(spark: SparkSession, d: str) -> DataFrame:
+    return banding_recall(grid_nodes(table(spark, d, "kinematic_features"))[2]).withColumn("recall", F.round("recall", 4))
+
+
 def _split(spark: SparkSession, d: str) -> DataFrame:
     return split_records(table(spark, d, "kinematic_features"), table(spark, d, "training_frames"))
 
@@ -159,7 +163,7 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_runs, p2_found, p2_clusters, p4_found, p4_splits, p4_checks, p5_video_percentiles, p5_day_percentiles,
+        p1_found, p1_runs, p2_found, p2_clusters, p2_banding_recall, p4_found, p4_splits, p4_checks, p5_video_percentiles, p5_day_percentiles,
         p5_days_combined, p6_ids, p7_found, p7_items, p7_spans, p8_found, p8_stats,
     )
     return {f.__name__: f for f in every}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionloom.llm.clusters import describe_clusters, similar_nodes, similarity_clusters, STEPS
+from motionloom.llm.clusters import STEPS, banding_recall, describe_clusters, medoid_groups, similar_nodes, similarity_clusters
 from motionloom.llm.graph import components
 from motionloom.llm.quantiles import merge_counts, percentiles, value_counts
 from motionloom.llm.splits import allot, assign_groups, grouped_records, pack, split_records
@@ -50,6 +50,43 @@ def test_clusters(spark):
     assert len(told) == 4 and all(r.medoid_rec_id in got and len(r.typical_gestures.split(",")) == 3 for r in told.values())
 
 
+@pytest.mark.parametrize("bridge_share, groups", [(0.02, 2), (0.6, 1)])
+def test_bridges(spark, bridge_share, groups):
+    """Two dense groups stay two where a thin bridge of records joins them, and are one where the bridge is dense."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(4000):
+        x = rng.random() * 0.2 if i % 2 else 2.2 + rng.random() * 0.2
+        rows.append((i, "g", 0.01 * math.exp(x), 1.0, 1.0, 5))
+    bridge = int(4000 * bridge_share)
+    rows += [(10_000 + i, "g", 0.01 * math.exp(0.1 + 2.2 * i / bridge), 1.0, 1.0, 5) for i in range(bridge * 2)]
+    got = {r.rec_id: r.cluster for r in similarity_clusters(spark.createDataFrame(rows, REC)).collect()}
+    assert len({got[i] for i in range(4000)}) == groups and len(set(got.values())) == groups
+    assert len({got[i] for i in range(0, 4000, 2)}) == len({got[i] for i in range(1, 4000, 2)}) == 1
+
+
+def test_medoid_groups_equal_a_plain_search():
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        n = 40
+        degree = rng.integers(1, 60, n)
+        pairs = np.array([(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.05])
+        a, b = np.r_[pairs[:, 0], np.arange(n)], np.r_[pairs[:, 1], np.arange(n)]
+        node, whole = medoid_groups(a, b, degree[a], degree[b], 0.0)
+        comp = brute_components(list(zip(a.tolist(), b.tolist())))
+        assert {frozenset(np.flatnonzero(whole == w).tolist()) for w in set(whole.tolist())} == {frozenset(k for k in comp if comp[k] == c) for c in set(comp.values())}
+        _, split = medoid_groups(a, b, degree[a], degree[b], 1.01)
+        assert all(split[k] == k or degree[split[k]] >= degree[k] for k in range(n)) and len(set(split.tolist())) >= len(set(whole.tolist()))
+
+
+def test_banding_recall(spark):
+    rng = np.random.default_rng(3)
+    q = np.unique(rng.integers(-3, 6, (300, 4)), axis=0)
+    r = banding_recall(spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(q)], "node long, q0 int, q1 int, q2 int, q3 int")).first()
+    shared = np.maximum(0, STEPS - np.abs(q[:, None] - q[None])).prod(axis=2)
+    assert r.similar == ((shared / (2 * STEPS**4 - shared) >= 1 / 3).sum() - len(q)) // 2 and r.recall >= 0.99
+
+
 def test_clusters_of_nothing(spark):
     assert similarity_clusters(spark.createDataFrame([], REC)).count() == 0
     alike = spark.createDataFrame([(i, "g", 0.1, 1.0, 1.0, 3) for i in range(5)], REC)
