@@ -3,9 +3,10 @@
 Spikes: the readings of a source are laid out as a profile matrix (short stretches of
 successive frames as rows, or records with their sibling measures as columns) in logarithms;
 robust principal components part it into a low-rank normal behaviour and sparse deviations.
-A reading with a large positive sparse part that also lies far above the source's own upper
-level is a spike. Impossible values and constant runs are tested separately. Sources are cut
-into slices of bounded size; runs across slice borders are found from the few rows at the borders.
+The source's normal level is the highest reading without a sparse part, over all its slices; a
+sparse reading far above that level is a spike. Impossible values and constant runs are tested
+separately. Sources are cut into slices of bounded size; runs across slice borders are found from
+the few rows at the borders.
 """
 
 from __future__ import annotations
@@ -29,17 +30,12 @@ _WIDTH = 16
 class SpikeRule:
     """Parameters of the spike test.
 
-    sparse: smallest sparse part, as a factor; above: how far over the source's ``level``
-    quantile a spike lies, as a factor; alone: the same over its 0.9 quantile where the
-    reading's sibling measures are as high as itself or missing, that quantile counting for no
-    more than ``spread`` times the 0.75 quantile, lest spikes raise it; rank: components of normal behaviour.
+    sparse: smallest sparse part, as a factor over what the low-rank part tells; above: how far over
+    the source's normal level a spike lies, as a factor; rank: components of normal behaviour.
     """
 
     sparse: float = 1.8
-    level: float = 0.9
-    above: float = 4.5
-    alone: float = 3.4
-    spread: float = 4.0
+    above: float = 3.0
     rank: int = 2
     zero_is_possible: bool = True
 
@@ -97,7 +93,8 @@ def stuck(v: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-_OUT = "what int, row_id long, field string, value double, support int, places int, rn long, n long"
+# what: 0 implausible for certain, 1 spike if far above the level, 2 border of a slice, 3 highest normal reading of a slice.
+_OUT = "what int, row_id long, field string, value double, places int, rn long, n long"
 
 
 def _flag(table: pa.Table, keys: int, fields: Sequence[str], siblings: Sequence[str], rule: SpikeRule, schema: pa.Schema) -> pa.Table:
@@ -110,27 +107,26 @@ def _flag(table: pa.Table, keys: int, fields: Sequence[str], siblings: Sequence[
     by, ids, order_null = by[once], ids[once], order_null[once]
     column = {c: table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)[by] for c in {*fields, *siblings}}
     known = {c: ~table.column(c).is_null().to_numpy(zero_copy_only=False)[by] for c in column}
-    out: list[list] = [[] for _ in range(8)]
+    out: list[list] = [[] for _ in range(7)]
 
-    def put(what: int, at: np.ndarray, field: str, support: np.ndarray | int, places: np.ndarray, rn: np.ndarray, n: int) -> None:
-        for store, x in zip(out, (what, ids[at], field, column[field][at], support, places, rn, n)):
+    def put(what: int, at: np.ndarray, field: str, places: np.ndarray | int = 0, rn: np.ndarray | int = 0, n: int = 0) -> None:
+        for store, x in zip(out, (what, ids[at], field, column[field][at], places, rn, n)):
             store.append(np.broadcast_to(np.asarray(x), at.shape))
 
     for field in fields:
         v, ok = column[field], known[field].copy()
         with np.errstate(invalid="ignore"):
             wrong = ok & (~np.isfinite(v) | (v < 0) | ((v == 0) & (not rule.zero_is_possible)))
-        at = np.flatnonzero(wrong)
-        put(0, at, field, 0, np.zeros(len(at), int), np.zeros(len(at), int), 0)
+        put(0, np.flatnonzero(wrong), field)
         # Runs.
         seq = np.flatnonzero(ok & np.isfinite(v) & ~order_null)
         places = decimals(v[seq])
         held = np.flatnonzero(stuck(v[seq], places))
-        put(0, seq[held], field, 0, places[held], held, 0)
+        put(0, seq[held], field)
         edge = np.unique(np.r_[0 : min(RUN - 1, len(seq)), max(0, len(seq) - RUN + 1) : len(seq)]).astype(int)
-        put(2, seq[edge], field, 0, places[edge], edge + 1, len(seq))
+        put(2, seq[edge], field, places[edge], edge + 1, len(seq))
         # Spikes.
-        fine = ok & ~wrong & (v > 0)
+        fine = ok & ~wrong & (v > 0) & ~order_null
         at = np.flatnonzero(fine)
         if len(at) == 0:
             continue
@@ -141,9 +137,7 @@ def _flag(table: pa.Table, keys: int, fields: Sequence[str], siblings: Sequence[
             seen = np.isfinite(m)
             floor = np.log(rule.sparse)
             sparse, beyond = low_rank_and_sparse(np.where(seen, m, 0.0), seen, min(rule.rank, len(names) - 1), floor)
-            # Where the sibling measures went along, only the source's own level can tell.
-            support = (beyond > floor).astype(int)
-            rest = np.maximum(sparse[:, 0], np.where(support > 0, beyond, 0.0))
+            rest = np.maximum(sparse[:, 0], np.where(beyond > floor, beyond, 0.0))
         else:
             width = min(_WIDTH, max(2, len(at) // 4))
             rows = -(-len(at) // width)
@@ -151,17 +145,34 @@ def _flag(table: pa.Table, keys: int, fields: Sequence[str], siblings: Sequence[
             seen = np.zeros(rows * width, dtype=bool)
             flat[: len(at)], seen[: len(at)] = np.log(v[at]), True
             rest = low_rank_and_sparse(flat.reshape(rows, width), seen.reshape(rows, width), min(rule.rank, width - 1), np.log(rule.sparse))[0].ravel()[: len(at)]
-            support = np.ones(len(at), dtype=int)
-        odd = np.flatnonzero(rest > 0)
-        put(1, at[odd], field, support[odd], np.zeros(len(odd), int), np.zeros(len(odd), int), 0)
+        put(1, at[rest > 0], field)
+        normal = at[rest <= 0]
+        if len(normal):
+            put(3, normal[[int(np.argmax(v[normal]))]], field)
     parts = [np.concatenate(x) if x else np.empty(0) for x in out]
     n = len(parts[0])
     arrays = [pa.array([table.column(k)[0].as_py()] * n, type=schema.field(k).type) for k in range(keys)]
-    kinds = [schema.field(keys + k).type for k in range(8)]
+    kinds = [schema.field(keys + k).type for k in range(7)]
     arrays += [pa.array(p.tolist() if pa.types.is_string(t) else p, type=t) for p, t in zip(parts, kinds)]
     return pa.Table.from_arrays(arrays, schema=schema)
 
 
+def sliced_rows(df: DataFrame, row_id: str, position: str, source: Sequence[Column], wanted: Sequence[str], slice_bits: int) -> tuple[list[str], DataFrame]:
+    """The names of the source columns, and source, slice, row_id, pos and the wanted columns of all rows with a row_id."""
+    keys = [f"s{k}" for k in range(len(source))]
+    nameless = F.lit(False)
+    for c in source:
+        nameless = nameless | c.isNull()
+    number, place = F.col(row_id).cast("long"), F.col(position).cast("long")
+    return keys, df.select(
+        *[c.cast("string").alias(k) for c, k in zip(source, keys)],
+        F.shiftright(F.when(nameless, number).otherwise(F.coalesce(place, number)), slice_bits).alias("slice"),
+        number.alias("row_id"),
+        F.when(place.isNotNull(), F.when(nameless, number).otherwise(place)).alias("pos"),
+        *[F.col(c).cast("double").alias(c) for c in wanted],
+    ).where(F.col("row_id").isNotNull())
+
+
 def implausible(
     df: DataFrame,
     *,
@@ -180,21 +191,15 @@ def implausible(
     where the rule says so), when it is one of ``RUN`` or more successive readings that
     stay the same but for the last digit, or when it is a spike (see the module). Null
     readings are skipped; a row without position is tested for value only; a row without
-    row_id is left out. Rows repeating a row_id count once. Null in a source column is a source
-    of its own. Slices hold 2**slice_bits positions. An empty table gives an empty result.
+    row_id is left out. Rows repeating a row_id and position count once. Rows with a null in a source column
+    are a source of their own, in order of row_id. Slices hold 2**slice_bits positions, or row_ids
+    where a row has no position or no source, so neither gathers rows in a task. The table is read
+    once. An empty table gives an empty result.
     """
-    keys = [f"s{k}" for k in range(len(source))]
-    wanted = list(dict.fromkeys([*fields, *siblings]))
-    base = df.select(
-        *[c.cast("string").alias(k) for c, k in zip(source, keys)],
-        F.shiftright(F.col(position).cast("long"), slice_bits).alias("slice"),
-        F.col(row_id).cast("long").alias("row_id"),
-        F.col(position).cast("long").alias("pos"),
-        *[F.col(c).cast("double").alias(c) for c in wanted],
-    ).where(F.col("row_id").isNotNull())
+    keys, base = sliced_rows(df, row_id, position, source, list(dict.fromkeys([*fields, *siblings])), slice_bits)
     schema = ", ".join([*[f"{k} string" for k in keys], "slice long", _OUT])
     arrow = pa.schema(
-        [*[(k, pa.string()) for k in keys], ("slice", pa.int64()), ("what", pa.int32()), ("row_id", pa.int64()), ("field", pa.string()), ("value", pa.float64()), ("support", pa.int32()), ("places", pa.int32()), ("rn", pa.int64()), ("n", pa.int64())]
+        [*[(k, pa.string()) for k in keys], ("slice", pa.int64()), ("what", pa.int32()), ("row_id", pa.int64()), ("field", pa.string()), ("value", pa.float64()), ("places", pa.int32()), ("rn", pa.int64()), ("n", pa.int64())]
     )
     n_keys = len(keys) + 1
 
@@ -227,25 +232,21 @@ def implausible(
         .select("row_id", "field")
     )
 
-    long = base.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in fields])).alias("r")).select(*keys, "r.*")
-    usual = (
-        long.where((F.col("v") > 0) & ~F.isnan("v") & (F.col("v") < float("inf")))
+    level = (
+        found.where("what = 3")
         .groupBy(*keys, "field")
-        .agg(F.percentile_approx("v", F.array(F.lit(rule.level), F.lit(0.75), F.lit(0.9)), 1000).alias("q"))
+        .agg(F.max("value").alias("level"))
         .withColumnsRenamed({k: f"u_{k}" for k in keys} | {"field": "u_field"})
     )
     same = F.col("field") == F.col("u_field")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"u_{k}"))
-    over = F.when(F.col("support") > 0, F.col("value") > rule.above * F.col("q")[0]).otherwise(
-        F.col("value") > rule.alone * F.least(F.col("q")[2], rule.spread * F.col("q")[1])
-    )
-    spikes = found.where("what = 1").join(usual, same).where(over).select("row_id", "field")
+    spikes = found.where("what = 1").join(level, same).where(F.col("value") > rule.above * F.col("level")).select("row_id", "field")
     return certain.unionByName(edges).unionByName(spikes).distinct()
 
 
 ARM_RULE = SpikeRule()
-PEAK_RULE = SpikeRule(sparse=2.0, level=0.75, above=3.2, rank=1, zero_is_possible=False)
+PEAK_RULE = SpikeRule(sparse=2.0, above=3.05, rank=1, zero_is_possible=False)
 PEAK_SIBLINGS = ("elbow_peak_speed", "hand_mean_speed", "hand_submovement_peak_max", "hand_peak_acceleration")
 
 

@@ -1,7 +1,9 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
-from motionloom.operators.outliers import implausible, implausible_arm, implausible_peaks, stuck, decimals, ARM_RULE
+from motionloom.operators.outliers import implausible, implausible_arm, implausible_peaks, sliced_rows, stuck, decimals, ARM_RULE
 from pyspark.sql import functions as F
 
 ARM = "reading_id long, track_id string, limb string, frame_idx long, time double, speed double, acceleration double, jerk double"
@@ -28,6 +30,39 @@ def test_spikes_and_impossible_values(spark):
     assert ids(implausible_arm(arm(spark, v))) == [50, 51, 200, 300, 301]
 
 
+def test_the_low_rank_part_decides(spark):
+    """Without the sparse part nothing is a spike; where everything counts as sparse, more is."""
+    v = wave(400)
+    v[50], v[51], v[200] = 9.0, 12.5, 1.9
+    some = arm(spark, v)
+    args = dict(row_id="reading_id", position="frame_idx", source=[F.col("track_id"), F.col("limb")], fields=("speed",))
+    assert ids(implausible(some, rule=replace(ARM_RULE, sparse=1e9), **args)) == []
+    assert ids(implausible(some, rule=ARM_RULE, **args)) == [50, 51]
+    assert {50, 51} < set(ids(implausible(some, rule=replace(ARM_RULE, sparse=1.0001, above=1.3), **args)))
+
+
+def test_levels_hold_over_slices(spark):
+    """A stretch that is high throughout is what its source normally shows, wherever slices are cut."""
+    v = wave(600)
+    v[300:420] = [6 * x for x in v[300:420]]
+    v[40] = 5.0
+    args = dict(row_id="reading_id", position="frame_idx", source=[F.col("track_id")], fields=("speed",), rule=ARM_RULE)
+    assert ids(implausible(arm(spark, v), slice_bits=6, **args)) == []
+
+
+def test_rows_without_position_or_source_are_spread(spark):
+    """30 percent without position and all without track: no slice holds more than its share, and values are still tested."""
+    n, bits = 4000, 6
+    rows = [(i, None, "hand", None if i % 10 < 3 else i % 50, 0.0, -1.0 if i % 100 == 1 else 0.5 + (i * 37 % 101) / 300, 0.1, 0.0) for i in range(n)]
+    df = spark.createDataFrame(rows, ARM)
+    args = dict(row_id="reading_id", position="frame_idx", source=[F.col("track_id"), F.col("limb")], fields=("speed",), rule=ARM_RULE)
+    assert ids(implausible(df, slice_bits=bits, **args)) == list(range(1, n, 100))
+    named = spark.createDataFrame([(r[0], "t", *r[2:]) for r in rows], ARM)
+    assert ids(implausible(named, slice_bits=bits, **args))[:5] == [1, 101, 201, 301, 401]
+    sizes = sliced_rows(df, row_id="reading_id", position="frame_idx", source=[F.col("track_id")], wanted=["speed"], slice_bits=bits)[1].groupBy("s0", "slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1 << bits
+
+
 @pytest.mark.parametrize("begin", [10, 60, 121])
 @pytest.mark.parametrize("length", [7, 8, 20])
 def test_stuck_runs_across_slices(spark, begin, length):
