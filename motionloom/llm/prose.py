@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 # Frequent words of some languages, in alphabetical order.
 COMMON_WORDS = {
@@ -62,6 +63,8 @@ _STAMP = re.compile(r"^\W*\d{4}-\d\d-\d\d\b.*\b\d{1,2}:\d\d")
 _CLOCKED = re.compile(r"\b0x[0-9a-fA-F]{4,}\b|\b[A-Z]{3,5}\b\s*\[\d+\]")
 _LONGRUN = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|^[bcdfghjklmnpqrstvwxz;]{3,}$", re.I)
 _PIECE = 1200
+CHUNK = 60_000
+EDGE = 6_000
 
 
 def pieces_of(line: str) -> list[str]:
@@ -151,9 +154,41 @@ def running(text: str, n_lines: int = 1) -> bool:
     return n >= 3 and common >= need
 
 
-def language_share(text: str) -> tuple[int, int]:
-    """Characters that are not white space: in running language, and in all."""
-    text = unicodedata.normalize("NFC", text)
+def split_points(text: str, size: int = CHUNK) -> list[tuple[int, int]]:
+    """Chunk bounds: after the last line end of the last fifth, else after its last white space, else anywhere."""
+    out, at = [], 0
+    while len(text) - at > size:
+        lo, hi = at + size - size // 5, at + size
+        cut = text.rfind("\n", lo, hi) + 1 or text.rfind(" ", lo, hi) + 1 or hi
+        out.append((at, cut))
+        at = cut
+    out.append((at, len(text)))
+    return out
+
+
+def units(text: str) -> Iterator[str]:
+    """The lines of a text, long ones in pieces."""
+    for line in _NEWLINE.split(text):
+        if len(line) > _PIECE * 3 // 2:
+            yield from pieces_of(line)
+        else:
+            yield line
+
+
+def language_share(text: str, before: str = "") -> tuple[int, int]:
+    """Characters that are not white space: in running language, and in all. A paragraph also ends where a chunk does.
+
+    ``text`` is in composed form; ``before`` holds what stands before it, of which the last two lines matter.
+    """
+    good = total = 0
+    for a, b in split_points(text):
+        back = text[max(0, a - EDGE) : a] if a else before
+        some, every = _share(text[a:b], [x.strip() for x in list(units(back))[-3:]])
+        good, total = good + some, total + every
+    return good, total
+
+
+def _share(text: str, past: list[str]) -> tuple[int, int]:
     good = total = 0
     block: list[str] = []
 
@@ -170,30 +205,32 @@ def language_share(text: str) -> tuple[int, int]:
             ok = running("\n".join(block), len(block))
         return size if ok else 0
 
-    last, repeats = None, 0
-    for line in _NEWLINE.split(text):
-        bare = line.strip()
+    # A chunk that begins at a line end has an empty line last among those before it.
+    past = past[:-1] if past and not past[-1] else past
+    last = past[-1] if past else None
+    repeats = int(len(past) > 1 and past[-2] == last)
+    for piece in units(text):
+        bare = piece.strip()
         if not bare:
             good += close()
             block = []
-            last = None
+            last, repeats = None, 0
             continue
-        for piece in pieces_of(line) if len(line) > _PIECE * 3 // 2 else (line,):
-            size = len("".join(piece.split()))
-            total += size
-            repeats = repeats + 1 if bare == last else 0
-            if structured(piece) or repeats >= 2:
+        size = len("".join(piece.split()))
+        total += size
+        repeats = repeats + 1 if bare == last else 0
+        if structured(piece) or repeats >= 2:
+            good += close()
+            block = []
+        else:
+            # Prose above or below an enumeration is judged by itself.
+            marked = bool(_BULLET.match(piece))
+            if block and marked != bool(_BULLET.match(block[-1])):
+                good += close()
+                block = []
+            block.append(piece)
+            if sum(map(len, block)) > _PIECE:
                 good += close()
                 block = []
-            else:
-                # Prose above or below an enumeration is judged by itself.
-                marked = bool(_BULLET.match(piece))
-                if block and marked != bool(_BULLET.match(block[-1])):
-                    good += close()
-                    block = []
-                block.append(piece)
-                if sum(map(len, block)) > _PIECE:
-                    good += close()
-                    block = []
         last = bare
     return good + close(), total

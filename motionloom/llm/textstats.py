@@ -2,36 +2,26 @@
 
 Method: documents longer than a bound are cut into chunks at line ends or white space and
 spread over the cluster; every chunk gives additive counts, corrected by the state at
-its edges (a word or a line that goes on across an edge counts once); the counts are summed
-per document through partial aggregation and turned into ratios and rules.
+its edges (a word or a line that goes on across an edge counts once, a repeated line is known by
+the lines before); the counts are summed per document through partial aggregation and turned into
+ratios and an outcome.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionloom.llm import prose
-from motionloom.runtime import spread
-
-CHUNK = 60_000
-EDGE = 200
-_COUNTS = ("n_chars", "n_dense", "n_words", "word_chars", "n_common", "n_symbols", "n_digits", "n_lines", "n_ended", "n_bullets", "n_running")
-
-
-def split_points(text: str, size: int = CHUNK) -> list[tuple[int, int]]:
-    """Chunk bounds: after the last line end of the last fifth, else after its last white space, else anywhere."""
-    out, at = [], 0
-    while len(text) - at > size:
-        lo, hi = at + size - size // 5, at + size
-        cut = text.rfind("\n", lo, hi) + 1 or text.rfind(" ", lo, hi) + 1 or hi
-        out.append((at, cut))
-        at = cut
-    out.append((at, len(text)))
-    return out
+from motionloom.llm.prose import CHUNK, EDGE, split_points
+from motionloom.runtime import cut, spread
+
+_COUNTS = ("n_dense", "n_words", "word_chars", "n_common", "n_symbols", "n_digits", "n_lines", "n_ended", "n_bullets", "n_running")
 
 
 def chunk_counts(text: str, before: str = "", after: str = "") -> list[int]:
@@ -48,10 +38,9 @@ def chunk_counts(text: str, before: str = "", after: str = "") -> list[int]:
     ended = [bool(prose._END.search(x)) for x in lines]
     if prose._NEWLINE.split(text)[-1].strip() and prose._NEWLINE.split(after)[0].strip():
         ended.pop()  # its end comes in the next chunk
-    good, dense = prose.language_share(text)
+    good, dense = prose.language_share(text, before)
     symbols = sum(not c.isalnum() and not c.isspace() for c in text)
     return [
-        len(text),
         dense,
         n_words,
         word_chars,
@@ -65,51 +54,58 @@ def chunk_counts(text: str, before: str = "", after: str = "") -> list[int]:
     ]
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The counts of short texts; the chunks of long ones, uncounted."""
     for pdf in batches:
-        for doc, text in zip(pdf["doc"], pdf["text"]):
-            parts = split_points(text)
+        text = [unicodedata.normalize("NFC", t) for t in pdf["text"]]
+        short = [len(t) <= CHUNK for t in text]
+        size = pdf["text"].map(len)
+        yield _counted(pdf["doc"][short], size[short], [t for t, ok in zip(text, short) if ok], None, None)
+        for doc, n, t, ok in zip(pdf["doc"], size, text, short):
+            parts = [] if ok else split_points(t)
             for k in range(0, len(parts), 64):
                 some = parts[k : k + 64]
-                yield pd.DataFrame(
-                    {
-                        "doc": [doc] * len(some),
-                        "part": range(k, k + len(some)),
-                        "text": [text[a:b] for a, b in some],
-                        "before": [text[max(0, a - EDGE) : a] for a, _ in some],
-                        "after": [text[b : b + EDGE] for _, b in some],
-                    }
-                )
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                out = pd.DataFrame({c: pd.Series([None] * len(some), dtype="Int64") for c in _COUNTS})
+                out.insert(0, "doc", doc)
+                out.insert(1, "n_chars", [0 if k + i else n for i in range(len(some))])
+                out["chunk"] = [t[a:b] for a, b in some]
+                out["before"] = [t[max(0, a - EDGE) : a] for a, _ in some]
+                out["after"] = [t[b : b + EDGE] for _, b in some]
+                yield out
+
+
+def _second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [chunk_counts(t, b, a) for t, b, a in zip(pdf["text"], pdf["before"], pdf["after"])]
-        out = pd.DataFrame(rows, columns=list(_COUNTS), dtype="int64")
-        out.insert(0, "doc", pdf["doc"].to_numpy())
-        yield out
+        yield _counted(pdf["doc"], pdf["n_chars"], pdf["chunk"], pdf["before"], pdf["after"]).drop(columns=["chunk", "before", "after"])
 
 
-def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", long_text: int = 4 * CHUNK) -> DataFrame:
+def _counted(doc: pd.Series, n_chars: pd.Series, text: Iterable[str], before: Iterable[str] | None, after: Iterable[str] | None) -> pd.DataFrame:
+    blank = itertools.repeat("")
+    rows = [chunk_counts(t, b, a) for t, b, a in zip(text, blank if before is None else before, blank if after is None else after)]
+    out = pd.DataFrame(rows, columns=list(_COUNTS), dtype="int64")
+    out.insert(0, "doc", doc.to_numpy())
+    out.insert(1, "n_chars", n_chars.to_numpy())
+    for c in ("chunk", "before", "after"):
+        out[c] = pd.Series([None] * len(out), dtype=object)
+    return out
+
+
+def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: figures of its text and whether more than half of it is no running language.
 
     Columns: doc_id, n_chars, n_words, mean_word_length, symbol_ratio, digit_ratio, n_lines,
     ended_line_share, bullet_line_share, common_word_share, running_share, not_prose.
     Null, empty and blank texts get zero counts, null ratios and not_prose false. Texts of any
-    length are read whole; texts with the same doc_id are summed as parts of one document; rows
+    length are read whole, in one scan: long ones leave it as chunks, are spread and counted apart; where
+    chunks are cut doesn't change any figure. Texts with the same doc_id are summed as parts of one document; rows
     without doc_id are left out. Further columns of ``df`` play no part; an empty table gives an empty result.
     """
     base = df.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc is not null")
-    short = spread(base.where(F.length("text") <= long_text)).select("doc", "text", F.lit("").alias("before"), F.lit("").alias("after"))
-    long = (
-        base.where(F.length("text") > long_text)
-        .mapInPandas(_cut, "doc long, part long, text string, before string, after string")
-        .repartition("doc", "part")
-        .drop("part")
-    )
-    schema = "doc long, " + ", ".join(f"{c} long" for c in _COUNTS)
-    parts = short.mapInPandas(_count, schema).unionByName(long.mapInPandas(_count, schema))
-    total = parts.groupBy("doc").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    counts = ", ".join(f"{c} long" for c in ("n_chars", *_COUNTS))
+    first = cut(spread(base).mapInPandas(_first, f"doc long, {counts}, chunk string, before string, after string"))
+    long = first.where("chunk is not null").select("doc", "n_chars", "chunk", "before", "after").repartition(F.xxhash64("doc", "chunk"))
+    parts = first.where("chunk is null").drop("chunk", "before", "after").unionByName(long.mapInPandas(_second, f"doc long, {counts}"))
+    total = parts.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("n_chars", *_COUNTS)])
 
     def ratio(a: str, b: str) -> Column:
         return F.try_divide(F.col(a).cast("double"), F.col(b))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -213,11 +214,25 @@ def test_chunks_add_up():
         assert "".join(text[a:b] for a, b in bounds) == text
         parts = [textstats.chunk_counts(text[a:b], text[max(0, a - 200) : a], text[b : b + 200]) for a, b in bounds]
         summed = np.array(parts).sum(axis=0)
-        for name in ("n_chars", "n_dense", "word_chars", "n_symbols", "n_digits", "n_words", "n_lines", "n_ended"):
+        for name in ("n_dense", "word_chars", "n_symbols", "n_digits", "n_words", "n_lines", "n_ended"):
             k = textstats._COUNTS.index(name)
             assert summed[k] == whole[k], (size, name)
 
 
+def test_chunks_of_long_texts_give_what_the_whole_gives(spark):
+    rng = random.Random(1)
+    pool = [PROSE, LIST, "\n\n", "q9X/+aZ " * 30, "The same line once more.\n" * 5, PROSE.strip() + " ", "word " * 40]
+    texts = {1: "".join(rng.choice(pool) for _ in range(2500)), 2: PROSE.replace("\n", " ") * 2600, 3: "one line that comes again\n" * 16_000, 4: "x" * 400_000, 5: ("ab " * 11_000 + "\n") * 12, 6: "e\u0301t" * 90_000, 7: PROSE}
+    whole = {k: textstats.chunk_counts(unicodedata.normalize("NFC", t)) for k, t in texts.items()}
+    out = {r.doc_id: r for r in textstats.text_statistics(spark.createDataFrame(list(texts.items()), DOCS)).collect()}
+    for k, t in texts.items():
+        c = dict(zip(textstats._COUNTS, whole[k]))
+        got = (out[k].n_chars, out[k].n_words, out[k].n_lines, out[k].running_share, out[k].ended_line_share, out[k].bullet_line_share, out[k].common_word_share, out[k].symbol_ratio, out[k].mean_word_length)
+        share = lambda a, b: c[a] / c[b] if c[b] else None
+        assert got == (len(t), c["n_words"], c["n_lines"], share("n_running", "n_dense"), share("n_ended", "n_lines"), share("n_bullets", "n_lines"), share("n_common", "n_words"), share("n_symbols", "n_dense"), share("word_chars", "n_words")), k
+    assert out[3].not_prose and out[4].not_prose and not out[7].not_prose
+
+
 def test_vocabulary_letters_cover_all_bytes():
     assert sorted(bpe.byte_letters().values()) == list(range(256))
     assert json.dumps(bpe.PATTERN)
