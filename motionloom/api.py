@@ -123,7 +123,7 @@ class GestureDetector:
 
     def dashboard_tables(self, kinematics: DataFrame, positions: DataFrame, key: str = "gesture") -> DataFrame:
         """Each gesture with its place on the map, its features and a seeded jitter for drawing."""
-        return positions.join(kinematics, key).withColumn("jitter", (F.rand(42) - 0.5) * 0.2)
+        return positions.join(kinematics, key).withColumn("jitter", (learning.uniform(42, F.col(key)) - 0.5) * 0.2)
 
 
 @dataclass

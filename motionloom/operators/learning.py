@@ -147,6 +147,8 @@ def synthetic_network(channels: int, frames: int = 25, filters: Sequence[int] =
     for n, f in enumerate(filters):
         out[f"conv{n}"] = rng.normal(0, (2 / (3 * c)) ** 0.5, (3, c, f)).astype(np.float32)
         out[f"bias{n}"] = np.zeros(f, dtype=np.float32)
+        out[f"gamma{n}"], out[f"var{n}"] = rng.uniform(0.8, 1.2, (2, f)).astype(np.float32)
+        out[f"beta{n}"], out[f"mean{n}"] = rng.normal(0, 0.1, (2, f)).astype(np.float32)
         c = f
     out["dense"] = rng.normal(0, (2 / (frames * c)) ** 0.5, (frames * c, hidden)).astype(np.float32)
     out["motion"] = rng.normal(0, 0.06, (hidden, 1)).astype(np.float32)
@@ -155,16 +157,22 @@ def synthetic_network(channels: int, frames: int = 25, filters: Sequence[int] =
 
 
 def network_forward(x: np.ndarray, w: Mapping[str, np.ndarray]) -> np.ndarray:
-    """(windows, frames, channels) to has_motion, p_gesture, p_move: convolutions of three frames with pooling of two at stride 1, a dense layer, two heads."""
+    """(windows, frames, channels) to has_motion, p_gesture, p_move: convolutions of three frames, each with batch normalisation
+    and pooling of two at stride 1, a dense layer, two heads.
+
+    ``w``: conv, bias, gamma, beta, mean and var of each convolution (``conv0``, ...), and of the layers dense,
+    motion and gesture the weights and, as ``dense_bias`` and so on, the biases, which count as 0 where they are absent.
+    """
     h = expand_channels(x).astype(np.float32)
     for n in range(len([k for k in w if k.startswith("conv")])):
         padded = np.pad(h, ((0, 0), (1, 1), (0, 0)))
         frames = h.shape[1]
         h = np.maximum(sum(padded[:, k : k + frames] @ w[f"conv{n}"][k] for k in range(3)) + w[f"bias{n}"], 0)
+        h = (h - w[f"mean{n}"]) * (w[f"gamma{n}"] / np.sqrt(w[f"var{n}"] + 1e-3)) + w[f"beta{n}"]
         h = np.maximum(h, np.concatenate([h[:, 1:], h[:, -1:]], axis=1))
-    z = np.maximum(h.reshape(len(h), -1) @ w["dense"], 0)
-    motion = 1 / (1 + np.exp(-(z @ w["motion"])))
-    g = z @ w["gesture"]
+    z = np.maximum(h.reshape(len(h), -1) @ w["dense"] + w.get("dense_bias", 0), 0)
+    motion = 1 / (1 + np.exp(-(z @ w["motion"] + w.get("motion_bias", 0))))
+    g = z @ w["gesture"] + w.get("gesture_bias", 0)
     e = np.exp(g - g.max(axis=1, keepdims=True))
     return np.concatenate([motion, e / e.sum(axis=1, keepdims=True)], axis=1)
 
@@ -189,21 +197,92 @@ def score_windows(df: DataFrame, window: str, weights: Mapping[str, np.ndarray])
     return df.withColumn("_s", score(F.col(window))).select(*df.columns, "_s.*")
 
 
-def sampled(df: DataFrame, label: str, shares: Mapping[str, float], seed: int = 42) -> DataFrame:
-    """A random share of each class; a sampling operator, so leaving rows out is its purpose."""
-    return df.sampleBy(label, dict(shares), seed)
+def uniform(seed: int, *parts: Column) -> Column:
+    """A number from 0 to 1 that depends on the parts only, not on partitions or runs: 48 bits of their MD5."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def normal(seed: int, *parts: Column) -> Column:
+    """A standard normal number that depends on the parts only."""
+    return F.sqrt(-2 * F.ln(1 - uniform(seed, *parts))) * F.cos(2 * math.pi * uniform(seed + 1, *parts))
+
 
+def balanced_starts(df: DataFrame, label: str, draws: int, length: int, seed: int = 42) -> DataFrame:
+    """draw, label, start: ``draws`` times a class, each as likely, and a start of ``length`` rows within it, each as likely.
 
-def augmented(df: DataFrame, vector: str, seed: int = 42, noise: float = 0.008, low: float = 0.97, high: float = 1.03) -> DataFrame:
-    """Two derived copies of each row besides the row itself: with noise of each value's own, and scaled. Random, but the same for a seed and partitioning."""
-    plain = df.withColumn("kind", F.lit("original"))
+    ``df`` has one row per frame. Draws are made from hashes of their numbers; a class with ``length`` rows or fewer has no start.
+    """
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > length)
+    # Classes are few by nature.
+    classes = sizes.withColumn("_k", F.row_number().over(Window.orderBy(label)) - 1)
+    number = sizes.agg(F.count(F.lit(1)).alias("_classes"))
+    n = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(number))  # one row by construction
+    n = n.withColumn("_k", F.floor(uniform(seed, F.col("draw")) * F.col("_classes")).cast("int"))
+    return n.join(F.broadcast(classes), "_k").select("draw", label, F.floor(uniform(seed + 1, F.col("draw")) * (F.col("_rows") - length)).alias("start"))
+
+
+def chosen_for_augmentation(df: DataFrame, label: str, key: Sequence[str], share: int = 3, cap: int = 5000) -> DataFrame:
+    """Of each class the rows of a ``share``-th of it, ``cap`` at most, by hash order of ``key``."""
+    sizes = df.groupBy(label).agg(F.least(F.floor(F.count(F.lit(1)) / share), F.lit(cap)).alias("_most"))
+    order = [_shuffled(*key), *[F.col(k) for k in key]]
+    some = cap_per_class(df, label, key, cap).withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    return some.join(F.broadcast(sizes), label).where(F.col("_k") <= F.col("_most")).drop("_k", "_most")  # one row a class
 
-    def uniform(i: Column, part: int) -> Column:
-        return (F.pmod(F.xxhash64("_n", i, F.lit(part)), F.lit(1 << 52)) + 1) / float(1 << 52)
 
-    def normal(i: Column) -> Column:
-        return F.sqrt(-2 * F.ln(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 1))
+def augmented_windows(df: DataFrame, window: str, key: Sequence[str], seed: int = 42, noise: float = 0.008, low: float = 0.97, high: float = 1.03) -> DataFrame:
+    """kind and window of three copies of each window (an array of frames): noise, scale, jitter.
 
-    noisy = df.withColumn("_n", F.rand(seed)).withColumn(vector, F.transform(vector, lambda x, i: x + normal(i) * noise)).drop("_n").withColumn("kind", F.lit("noise"))
-    scaled = df.withColumn("_f", F.rand(seed + 1) * (high - low) + low).withColumn(vector, F.transform(vector, lambda x: x * F.col("_f"))).drop("_f").withColumn("kind", F.lit("scale"))
-    return plain.unionByName(noisy).unionByName(scaled)
+    noise: a normal number for each value; scale: one factor from ``low`` to ``high``; jitter: one frame that is neither
+    first nor last is dropped and one of the rest doubled, for windows of four frames or more. Numbers are hashes of
+    ``key``, so every run and engine makes the same copies.
+    """
+    k = [F.col(c) for c in key]
+    w = F.col(window)
+    n = F.size(w)
+    noisy = F.transform(w, lambda f, i: F.transform(f, lambda x, j: x + noise * normal(seed, *k, i, j)))
+    scaled = F.transform(w, lambda f: F.transform(f, lambda x: x * (low + (high - low) * uniform(seed + 2, *k))))
+    drop = F.floor(uniform(seed + 3, *k) * (n - 2)).cast("int") + 1
+    left = F.filter(w, lambda f, i: i != drop)
+    twice = F.floor(uniform(seed + 4, *k) * (n - 1)).cast("int")
+    jitter = F.when(n >= 4, F.flatten(F.transform(left, lambda f, i: F.when(i == twice, F.array(f, f)).otherwise(F.array(f)))))
+    copies = F.array(*[F.struct(F.lit(name).alias("kind"), v.alias(window)) for name, v in (("noise", noisy), ("scale", scaled), ("jitter", jitter))])
+    out = df.withColumn("_c", F.explode(copies)).where(F.col(f"_c.{window}").isNotNull())
+    return out.select(*[c for c in df.columns if c != window], "_c.kind", f"_c.{window}")
+
+
+def disturbed_windows(df: DataFrame, window: str, key: Sequence[str], seed: int = 42, jitter: float = 0.005, drop: float = 0.03, noise: float = 0.01, low: float = 0.98, high: float = 1.02, mask: int = 2) -> DataFrame:
+    """``df`` with the network's training disturbances in ``window``: jitter, lost frames, noise, a factor, a masked stretch.
+
+    Lost and masked frames are zeros; the stretch has at least one and less than ``mask`` frames. Stretching of
+    time does nothing in the published network and does nothing here. Numbers are hashes of ``key``.
+    """
+    k = [F.col(c) for c in key]
+    w = F.col(window)
+    factor = low + (high - low) * uniform(seed + 7, *k)
+    size = F.lit(1) + F.floor(uniform(seed + 5, *k) * (mask - 1)).cast("int")
+    start = F.floor(uniform(seed + 6, *k) * (F.size(w) - size)).cast("int")
+
+    def frame(f: Column, i: Column) -> Column:
+        lost = uniform(seed + 4, *k, i) <= drop
+        shut = (i >= start) & (i < start + size)
+        value = lambda x, j: F.when(shut, 0.0).otherwise((F.when(lost, 0.0).otherwise(x + jitter * normal(seed, *k, i, j)) + noise * normal(seed + 2, *k, i, j)) * factor)
+        return F.transform(f, value)
+
+    return df.withColumn(window, F.transform(w, frame))
+
+
+def train_and_test(df: DataFrame, label: str, key: Sequence[str], folds: int = 5, few: int = 10_000, share: float = 0.15) -> DataFrame:
+    """``df`` with fold: of more than ``few`` rows 0 to ``folds`` - 1; else 0 for ``share`` of each class, the test set, and 1 for the rest."""
+    if df.count() > few:
+        return stratified_folds(df, label, key, folds)
+    order = [_shuffled(*key), *[F.col(k) for k in key]]  # few rows, so a class fits a window
+    numbered = df.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.round(F.count(F.lit(1)) * share).alias("_t"))
+    return numbered.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l"))).withColumn("fold", (F.col("_k") > F.col("_t")).cast("int")).drop("_k", "_l", "_t")
+
+
+def cross_validation(df: DataFrame, label: str, predicted: str, fold: str) -> DataFrame:
+    """One row: mean and population deviation of the accuracies of the folds, and their number."""
+    per = accuracy(df, label, predicted, fold)
+    return per.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("deviation"), F.count(F.lit(1)).alias("folds"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from motionloom.operators import features as X
 from motionloom.operators import spatial as P
+from motionloom.operators.head import head_rotation
 from motionloom.operators.kinematics import kinematic_features
 from motionloom.operators.signals import smooth_over_time
 from motionloom.plans.adapters import FRAMES_EM_SQL, FRAMES_TR_SQL, frames_em, frames_tr
@@ -200,6 +201,13 @@ def p3_face_distances(spark, d):
     return frames_em(spark, d).select("track", "frame_idx", *[_r(c, n) for n, c in f.items()])
 
 
+@R.add("op_p6_head_rotation")
+def p6_head_rotation(spark, d):
+    points = ("nose", "left_eye", "right_eye", "neck", "left_shoulder", "right_shoulder")  # stand-ins for the face points
+    f = head_rotation(frames_em(spark, d), points, 640, 480)
+    return f.select("track", "frame_idx", *[_r(F.col(c), c, 3) for c in ("rot_x", "rot_y", "rot_z")])
+
+
 _NORM = _norm(["left_eye_x - right_eye_x", "left_eye_y - right_eye_y"])
 
 

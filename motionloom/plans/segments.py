@@ -68,6 +68,12 @@ def a3_track_statistics(spark, d):
     return s.select("track_id", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
 
 
+@R.add("a5_mode", f"{P}, c AS (SELECT track_id, label, count(*) AS n FROM predictions GROUP BY track_id, label) SELECT track_id, arg_min(label, (-n, label)) AS mode FROM c GROUP BY track_id")
+def a5_mode(spark, d):
+    counts = predictions(spark, d).groupBy("track_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("track_id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("mode"))
+
+
 @R.add("op_p19_bias_shift", f"""{P} SELECT ann_id, round(gesture_confidence + b, 9) AS gesture, round(move_confidence - b, 9) AS move FROM (
   SELECT *, CASE WHEN has_motion > 0 AND gesture_confidence + move_confidence > 0 THEN move_confidence * (0.4::DOUBLE * 0.5) ELSE 0 END AS b FROM predictions)""")
 def p19_bias_shift(spark, d):

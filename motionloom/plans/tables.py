@@ -8,11 +8,12 @@ from motionloom.functions import strings as T
 from motionloom.functions.keys import dataset_key, dataset_key_sql
 from motionloom.operators import distance as D
 from motionloom.operators import learning as L
-from motionloom.operators.features import decimated, network_features, sliding_windows
+from motionloom.operators import trees as B
+from motionloom.operators.features import decimated, enhanced_features, network_features, sliding_windows
 from motionloom.operators.spatial import POINTS
 from motionloom.plans.adapters import FINGERS, FRAMES_TR_SQL, GESTURES_SQL, PREDICTIONS_SQL, TRAINING_SQL, frames_em, frames_tr, gestures, predictions, training_rows
 from motionloom.plans.base import Registry
-from motionloom.runtime import spread, table
+from motionloom.runtime import cut, spread, table
 
 R = Registry()
 G = "WITH " + GESTURES_SQL
@@ -289,18 +290,74 @@ def m4_m6_network_scores(spark, d):
     return L.score_windows(w, "window", L.synthetic_network(29)).drop("window")
 
 
-@R.add("m7_m8_augmented", f"WITH {FRAMES_TR_SQL}, k AS (SELECT unnest(['original', 'noise', 'scale']) AS kind) SELECT label, kind, count(*) AS n FROM frames_tr, k GROUP BY label, kind")
-def m7_m8_augmented(spark, d):
-    return L.augmented(frames_tr(spark, d).select("label", "video", "frame_idx", "lm"), "lm").groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n"))
+def _u(seed, *parts):
+    """SQL for ``learning.uniform``."""
+    return "(('0x' || substr(md5(" + " || ':' || ".join([*parts, f"'{seed}'"]) + "), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
 
 
-@R.add("m7_m8_augmented_values")
-def m7_m8_augmented_values(spark, d):
-    """Per label and kind: values, their mean and deviation, and the mean of the deviations within each vector."""
-    a = L.augmented(frames_tr(spark, d).select("label", "video", "frame_idx", "lm"), "lm")
-    total = lambda f: F.aggregate("lm", F.lit(0.0), lambda acc, x: acc + f(x))
-    rows = a.select("label", "kind", F.size("lm").alias("n"), total(lambda x: x).alias("s"), total(lambda x: x * x).alias("q"))
-    rows = rows.withColumn("within", F.sqrt(F.greatest(F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(0.0))))
-    mean = F.sum("s") / F.sum("n")
-    spread_all = F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0)))
-    return rows.groupBy("label", "kind").agg(F.sum("n").alias("n_values"), _r(mean, "mean"), _r(spread_all, "deviation"), _r(F.avg("within"), "within_vectors"))
+def _n(seed, *parts):
+    return f"(sqrt(-2 * ln(1 - {_u(seed, *parts)})) * cos(2 * pi() * {_u(seed + 1, *parts)}))"
+
+
+_K = ("label", "video", "start")
+_WINDOWS = f"""{FRAMES_TR_SQL}, w AS (SELECT label, video, frame_idx AS start, list(lm) OVER (PARTITION BY label, video ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x FROM frames_tr),
+  windows AS (SELECT label, video, start, x, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', label, video, start)), label, video, start) AS k, count(*) OVER (PARTITION BY label) AS n FROM w WHERE len(x) = 5),
+  chosen AS (SELECT * FROM windows WHERE k <= least(n // 3, 5000))"""
+
+
+@R.add("f11_m8_augmented", f"""WITH {_WINDOWS}, c AS (
+  SELECT label, video, start, 'noise' AS kind, [[x[i][j] + 0.008::DOUBLE * {_n(42, *_K, '(i - 1)', '(j - 1)')} for j in range(1, 70)] for i in range(1, 6)] AS x FROM chosen UNION ALL
+  SELECT label, video, start, 'scale', [[v * (0.97::DOUBLE + 0.06::DOUBLE * {_u(44, *_K)}) for v in f] for f in x] FROM chosen UNION ALL
+  SELECT label, video, start, 'jitter', CASE t WHEN 0 THEN [y[1], y[1], y[2], y[3], y[4]] WHEN 1 THEN [y[1], y[2], y[2], y[3], y[4]] WHEN 2 THEN [y[1], y[2], y[3], y[3], y[4]] ELSE [y[1], y[2], y[3], y[4], y[4]] END
+    FROM (SELECT *, floor({_u(46, *_K)} * 4)::INT AS t, x[:d] || x[d + 2:] AS y FROM (SELECT *, floor({_u(45, *_K)} * 3)::INT + 1 AS d FROM chosen)))
+  SELECT label, video, start, kind, round(x[2][3], 6) AS early, round(x[4][60], 6) AS late, round(list_sum(flatten(x)), 5) AS total FROM c""")
+def f11_m8_augmented(spark, d):
+    w = sliding_windows(frames_tr(spark, d), ["label", "video"], "frame_idx", "lm", 5)
+    some = L.chosen_for_augmentation(w.select("label", "video", "start", "window"), "label", list(_K))
+    a = L.augmented_windows(some, "window", list(_K))
+    value = lambda i, j: F.get(F.get("window", F.lit(i)), F.lit(j))
+    total = F.aggregate(F.flatten("window"), F.lit(0.0), lambda s, x: s + x)
+    return a.select("label", "video", "start", "kind", _r(value(1, 2), "early"), _r(value(3, 59), "late"), _r(total, "total", 5))
+
+
+_SHUT = "(i - 1 >= hid AND i - 1 < hid + 1)"
+
+
+@R.add("m7_disturbed", f"""WITH {FRAMES_TR_SQL}, w AS (SELECT label, video, frame_idx AS start, list(lm) OVER (PARTITION BY label, video ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS x FROM frames_tr),
+  p AS (SELECT *, floor({_u(48, *_K)} * 24)::INT AS hid, 0.98::DOUBLE + 0.04::DOUBLE * {_u(49, *_K)} AS factor FROM w WHERE len(x) = 25),
+  c AS (SELECT label, video, start, [[CASE WHEN {_SHUT} THEN 0 ELSE ((CASE WHEN {_u(46, *_K, '(i - 1)')} <= 0.03 THEN 0 ELSE x[i][j] + 0.005::DOUBLE * {_n(42, *_K, '(i - 1)', '(j - 1)')} END) + 0.01::DOUBLE * {_n(44, *_K, '(i - 1)', '(j - 1)')}) * factor END for j in range(1, 70)] for i in range(1, 26)] AS x FROM p)
+  SELECT label, video, start, len(list_filter(x, lambda f: list_max(f) = 0 AND list_min(f) = 0)) AS masked, round(x[3][5], 6) AS early, round(list_sum(flatten(x)), 5) AS total FROM c""")
+def m7_disturbed(spark, d):
+    w = sliding_windows(frames_tr(spark, d), ["label", "video"], "frame_idx", "lm", 25).select("label", "video", "start", "window")
+    a = L.disturbed_windows(w, "window", list(_K))
+    masked = F.size(F.filter("window", lambda f: F.forall(f, lambda x: x == 0)))
+    total = F.aggregate(F.flatten("window"), F.lit(0.0), lambda s, x: s + x)
+    return a.select("label", "video", "start", masked.alias("masked"), _r(F.get(F.get("window", F.lit(2)), F.lit(4)), "early"), _r(total, "total", 5))
+
+
+@R.add("f12_balanced_starts", f"""{TR}, c AS (SELECT label, n, row_number() OVER (ORDER BY label) - 1 AS k, count(*) OVER () AS m FROM (SELECT label, count(*) AS n FROM training_rows WHERE label IS NOT NULL GROUP BY label HAVING count(*) > 25)), r AS (SELECT unnest(range(2000)) AS draw)
+  SELECT draw, label, floor({_u(43, 'draw')} * (n - 25))::BIGINT AS start FROM r JOIN c ON floor({_u(42, 'draw')} * m) = k""")
+def f12_balanced_starts(spark, d):
+    return L.balanced_starts(training_rows(spark, d), "label", 2000, 25)
+
+
+@R.add("m10_train_and_test", f"""{TR}, r AS (SELECT label, seq_no, row_number() OVER (PARTITION BY label ORDER BY md5(label || ':' || seq_no), label, seq_no) AS k, count(*) OVER (PARTITION BY label) AS n FROM training_rows WHERE label IS NOT NULL)
+  SELECT label, seq_no, (k > round(n * 0.15::DOUBLE))::INT AS fold FROM r""")
+def m10_train_and_test(spark, d):
+    return L.train_and_test(training_rows(spark, d).where("label is not null").select("label", "seq_no"), "label", ["label", "seq_no"])
+
+
+@R.add("a24_cross_validation", f"{_PRED} SELECT round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS deviation, count(*) AS folds FROM (SELECT avg(CASE WHEN label = given THEN 1.0::DOUBLE ELSE 0 END) AS a FROM t GROUP BY fold)")
+def a24_cross_validation(spark, d):
+    c = L.cross_validation(_given(spark, d), "label", "given", "fold")
+    return c.select(_r(F.col("mean_accuracy"), "mean_accuracy"), _r(F.col("deviation"), "deviation"), "folds")
+
+
+@R.add("m6_m9_tree_scores")
+def m6_m9_tree_scores(spark, d):
+    """Trees fitted on the training part, 30 rounds; accuracy per part over all its rows."""
+    e = enhanced_features(frames_tr(spark, d), ["label", "video"], "frame_idx").select("label", "video", "frame_idx", "features")
+    e = cut(L.train_and_test(e, "label", ["label", "video", "frame_idx"]))
+    model = B.fit_trees(e.where("fold = 1"), "features", "label", ["label", "video", "frame_idx"], rounds=30)
+    scored = B.score_rows(e, "features", model).withColumn("given", B.best_label(F.col("p"), model.labels))
+    return L.accuracy(scored, "label", "given", "fold").select("fold", _r(F.col("accuracy"), "accuracy"))

@@ -11,9 +11,11 @@ from motionloom.functions import strings as T
 from motionloom.functions.keys import dataset_key, video_key
 from motionloom.operators import distance as D
 from motionloom.operators import features as X
+from motionloom.operators import head as H
 from motionloom.operators import learning as L
 from motionloom.operators import signals as G
 from motionloom.operators import spatial as P
+from motionloom.operators import trees as B
 from motionloom.operators.kinematics import kinematic_features
 from motionloom.operators.sliced import cut_by, running_sum, with_neighbours
 from motionloom.plans import tables
@@ -278,12 +280,124 @@ def test_network_scores_every_window_of_arms_and_hands(spark, tmp_path):
 
 
 def test_noise_of_each_value(spark):
-    df = spark.range(400).select("id", F.array_repeat(F.lit(1.0), 69).alias("v"))
-    kinds = {k: np.array([r.v for r in L.augmented(df, "v").where(F.col("kind") == k).collect()]) for k in ("original", "noise", "scale")}
-    added = kinds["noise"] - 1
-    assert added.shape == (400, 69) and abs(added.mean()) < 0.0005 and added.std() == pytest.approx(0.008, rel=0.05)
+    df = spark.range(400).select("id", F.array_repeat(F.array_repeat(F.lit(1.0), 69), 5).alias("v"))
+    copies = {k: np.array([r.v for r in L.augmented_windows(df, "v", ["id"]).where(F.col("kind") == k).collect()]) for k in ("noise", "scale", "jitter")}
+    added = copies["noise"].reshape(400, -1) - 1
+    assert added.shape == (400, 345) and abs(added.mean()) < 0.0005 and added.std() == pytest.approx(0.008, rel=0.05)
     assert added.std(axis=1).min() > 0.004 and abs(np.corrcoef(added[:, 0], added[:, 1])[0, 1]) < 0.25
-    assert np.ptp(kinds["scale"], axis=1).max() < 1e-12 and (abs(kinds["scale"] - 1) <= 0.03).all() and (kinds["original"] == 1).all()
+    scaled = copies["scale"].reshape(400, -1)
+    assert np.ptp(scaled, axis=1).max() < 1e-12 and (abs(scaled - 1) <= 0.03).all() and scaled.std() > 0.01 and (copies["jitter"] == 1).all()
+
+
+def test_jitter_drops_one_frame_and_doubles_one(spark):
+    df = spark.range(300).select("id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.array(k.cast("double"))).alias("v"))
+    got = [[f[0] for f in r.v] for r in L.augmented_windows(df, "v", ["id"]).where("kind = 'jitter'").collect()]
+    assert all(len(v) == 5 and v == sorted(v) and {0.0, 4.0} <= set(v) and len(set(v)) == 4 for v in got)
+    assert len({tuple(v) for v in got}) == 12  # three frames to drop, four to double
+    short = df.select("id", F.slice("v", 1, 3).alias("v"))
+    assert {r.kind for r in L.augmented_windows(short, "v", ["id"]).collect()} == {"noise", "scale"}
+
+
+def test_disturbed_windows(spark):
+    df = spark.range(200).select("id", F.array_repeat(F.array_repeat(F.lit(1.0), 3), 25).alias("v"))
+    v = np.array([r.v for r in L.disturbed_windows(df, "v", ["id"]).collect()])
+    zero = (v == 0).all(axis=2)
+    assert (zero.sum(axis=1) == 1).all()  # one masked frame
+    lost = (np.abs(v).max(axis=2) < 0.2) & ~zero
+    assert 0.01 < lost.mean() < 0.06
+    kept = v[~zero & ~lost]
+    assert kept.mean() == pytest.approx(1, abs=0.01) and 0.01 < kept.std() < 0.03
+
+
+def test_draws_are_balanced(spark):
+    rows = spark.range(1100).selectExpr("case when id < 1000 then 'big' when id < 1070 then 'small' else 'tiny' end as label")
+    got = L.balanced_starts(rows, "label", 3000, 30).toPandas()
+    n = got.groupby("label").start.agg(["count", "min", "max"])
+    assert list(n.index) == ["big", "small"] and abs(n["count"]["big"] - 1500) < 120 and len(got) == 3000
+    assert n["min"]["small"] == 0 and n["max"]["small"] == 39 and n["max"]["big"] <= 969
+    few = L.chosen_for_augmentation(spark.range(100).selectExpr("id", "case when id < 90 then 'a' else 'b' end as label"), "label", ["id"], cap=20)
+    assert {r.label: r["count"] for r in few.groupBy("label").count().collect()} == {"a": 20, "b": 3}
+    parts = L.train_and_test(spark.range(400).selectExpr("id", "case when id < 300 then 'a' else 'b' end as label"), "label", ["id"])
+    assert {(r.label, r.fold): r["count"] for r in parts.groupBy("label", "fold").count().collect()} == {("a", 0): 45, ("a", 1): 255, ("b", 0): 15, ("b", 1): 85}
+
+
+def test_batch_normalisation_by_hand():
+    """One convolution of one channel: x -> relu(conv + bias) -> (h - mean) / sqrt(var + 0.001) * gamma + beta -> pooling of two."""
+    rng = np.random.default_rng(2)
+    w = L.synthetic_network(1, frames=4, filters=(1,), hidden=2)
+    w["dense_bias"], w["motion_bias"], w["gesture_bias"] = np.array([0.1, 0.2]), np.array([0.3]), np.array([0.4, -0.1])
+    x = rng.random((1, 4, 1))
+    h = np.vstack([np.zeros((1, 6)), L.expand_channels(x)[0], np.zeros((1, 6))])
+    conv = [max(0.0, sum(float(h[t + k] @ w["conv0"][k][:, 0]) for k in range(3)) + float(w["bias0"][0])) for t in range(4)]
+    norm = [(c - w["mean0"][0]) / math.sqrt(w["var0"][0] + 0.001) * w["gamma0"][0] + w["beta0"][0] for c in conv]
+    pooled = [max(norm[t], norm[min(t + 1, 3)]) for t in range(4)]
+    z = np.maximum(np.array(pooled) @ w["dense"] + w["dense_bias"], 0)
+    m, g = z @ w["motion"] + 0.3, np.exp(z @ w["gesture"] + w["gesture_bias"])
+    assert np.allclose(L.network_forward(x, w)[0], [1 / (1 + math.exp(-m[0])), *(g / g.sum())], atol=1e-5)
+
+
+def test_head_rotation(spark):
+    rng = np.random.default_rng(1)
+    solid = np.array([[0, 0, 30], [-45, -35, 0], [45, -35, 0], [-25, 30, 5], [25, 30, 5], [0, 60, -10]], dtype=float)
+    vec = rng.uniform(-0.5, 0.5, (40, 3))
+    turn, shift = H._turned(vec), np.stack([rng.uniform(-60, 60, 40), rng.uniform(-60, 60, 40), rng.uniform(500, 800, 40)], axis=1)
+    assert np.allclose(turn @ turn.transpose(0, 2, 1), np.eye(3)) and np.allclose(np.linalg.det(turn), 1)
+    p = solid @ turn.transpose(0, 2, 1) + shift[:, None]
+    seen = 640 * p[..., :2] / p[..., 2:] + np.array([320, 240])
+    found, moved = H.camera_pose(np.tile(solid, (40, 1, 1)), seen, 640, (320, 240))
+    assert np.allclose(found, turn, atol=1e-5) and np.allclose(moved, shift, atol=1e-2)
+    x, y, z = np.radians([20.0, -10.0, 35.0])
+    rx, ry, rz = H._turned(np.diag([x, y, z]))
+    assert np.allclose(H.euler_degrees((rz @ ry @ rx)[None])[0], [20, -10, 35])
+    names = [f"p{k}_{a}" for k in range(6) for a in "xyz"]
+    flat = np.array([[0.5, 0.5, 0.0], [0.4, 0.4, 0.0], [0.6, 0.4, 0.0], [0.45, 0.6, 0.0], [0.55, 0.6, 0.0], [0.5, 0.7, 0.0]]).ravel().tolist()
+    df = spark.createDataFrame([flat, [None, *flat[1:]], [float("nan"), *flat[1:]]], ", ".join(f"{n} double" for n in names))
+    got = H.head_rotation(df, [f"p{k}" for k in range(6)], 640, 480).select("rot_x", "rot_y", "rot_z").collect()
+    assert np.allclose([list(r) for r in got], 0, atol=1e-6)  # a flat face in the plane of the picture isn't turned
+    assert H.head_rotation(df.limit(0), [f"p{k}" for k in range(6)], 640, 480).count() == 0
+
+
+def test_trees(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 6))
+    y = np.where(x[:, 0] * x[:, 1] > 0, np.where(x[:, 2] > 0.5, 2, 1), 0)
+    model = B.train_trees(x[:600], y[:600], ["a", "b", "c"], rounds=60)
+    assert len(model.trees) == 180 and (model.predict(x[600:]).argmax(axis=1) == y[600:]).mean() > 0.9
+    assert np.array_equal(B.train_trees(x[:600], y[:600], ["a", "b", "c"], rounds=3).raw(x), B.train_trees(x[:600], y[:600], ["a", "b", "c"], rounds=3).raw(x))
+    df = spark.createDataFrame([(i, v.tolist(), "abc"[c]) for i, (v, c) in enumerate(zip(x, y))], "i long, v array<double>, label string")
+    fitted = B.fit_trees(df, "v", "label", ["i"], most_per_class=200, rounds=20)
+    scored = B.score_rows(df, "v", fitted).withColumn("given", B.best_label(F.col("p"), fitted.labels)).orderBy("i").collect()
+    assert np.allclose([r.p for r in scored], fitted.predict(x)) and np.mean([r.given == r.label for r in scored]) > 0.9
+    assert B.score_rows(df.limit(0), "v", fitted).count() == 0
+    with pytest.raises(ValueError):
+        B.fit_trees(df.limit(0), "v", "label", ["i"])
+
+
+def test_tree_text():
+    text = """tree
+num_class=2
+
+Tree=0
+num_leaves=3
+num_cat=0
+split_feature=1 0
+threshold=0.5 -1
+left_child=1 -2
+right_child=-1 -3
+leaf_value=0.1 0.2 0.3
+
+Tree=1
+num_leaves=1
+num_cat=0
+leaf_value=0.7
+
+end of trees
+"""
+    m = B.read_tree_text(text, ["a", "b"])
+    x = np.array([[0.0, 1.0], [-2.0, 0.5], [0.0, 0.0]])
+    assert np.allclose(m.raw(x), [[0.1, 0.7], [0.2, 0.7], [0.3, 0.7]])
+    e = np.exp(m.raw(x))
+    assert np.allclose(m.predict(x), e / e.sum(axis=1, keepdims=True))
 
 
 def test_strings(spark):
