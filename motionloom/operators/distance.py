@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionloom.runtime import cut
+
 
 def shape_descriptors(x: np.ndarray, width: int = 4) -> np.ndarray:
     """Raw subsequence around every frame, the ends repeated."""
@@ -57,13 +59,14 @@ def gesture_series(frames: DataFrame, by: str, columns: list[str], index: str =
     return out.select("gesture", F.transform("steps", lambda x: F.zip_with(x["v"], "means", lambda a, m: a - m)).alias("series"))
 
 
-def pairwise_distances(series: DataFrame, blocks: int = 16, width: int = 4) -> DataFrame:
+def pairwise_distances(series: DataFrame, blocks: int | None = None, width: int = 4) -> DataFrame:
     """gesture_i, gesture_j, distance of all pairs, mirrored, with a zero diagonal.
 
     The matrix is the feature. Gestures are cut into blocks; each pair of blocks is a join key,
     so pairs arise by an equality join, each computed once in the upper triangle, and work
-    spreads over blocks**2 / 2 keys. A failed pair gives NaN.
+    spreads over blocks**2 keys; by default there are 64 gestures to a block and 16 blocks at least. A failed pair gives NaN.
     """
+    blocks = blocks or max(16, -(-series.count() // 64))
     own = series.withColumn("block", F.pmod(F.xxhash64("gesture"), F.lit(blocks)).cast("int"))
     left = own.select(F.col("gesture").alias("gi"), F.col("series").alias("si"), F.col("block").alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bj"))
     right = own.select(F.col("gesture").alias("gj"), F.col("series").alias("sj"), F.col("block").alias("bj"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bi"))
@@ -75,10 +78,10 @@ def pairwise_distances(series: DataFrame, blocks: int = 16, width: int = 4) -> D
             out = [warping_distance(np.stack([np.asarray(f) for f in x]), np.stack([np.asarray(f) for f in y]), width)[0] for x, y in zip(a, b)]
             yield pd.Series(out, dtype=float)
 
-    upper = pairs.select("gi", "gj", distance("si", "sj").alias("distance"))
-    lower = upper.select(F.col("gj").alias("gi"), F.col("gi").alias("gj"), "distance")
-    zero = series.select(F.col("gesture").alias("gi"), F.col("gesture").alias("gj"), F.lit(0.0).alias("distance"))
-    return upper.unionByName(lower).unionByName(zero).withColumnsRenamed({"gi": "gesture_i", "gj": "gesture_j"})
+    upper = pairs.select("gi", "gj", distance("si", "sj").alias("d"))
+    both = F.explode(F.array(*[F.struct(F.col(a).alias("gesture_i"), F.col(b).alias("gesture_j"), F.col("d").alias("distance")) for a, b in (("gi", "gj"), ("gj", "gi"))]))
+    zero = series.select(F.col("gesture").alias("gesture_i"), F.col("gesture").alias("gesture_j"), F.lit(0.0).alias("distance"))
+    return upper.select(both.alias("p")).select("p.*").unionByName(zero)
 
 
 def nearest(distances: DataFrame, k: int = 15) -> DataFrame:
@@ -88,29 +91,40 @@ def nearest(distances: DataFrame, k: int = 15) -> DataFrame:
 
 
 def planar_map(distances: DataFrame, most: int = 2000) -> DataFrame:
-    """x, y, gesture by classical scaling of the distance matrix, in one executor task.
+    """x, y, gesture by classical scaling of the distance matrix.
 
-    A deterministic stand-in for an unseeded neighbour embedding. One task holds the matrix,
-    so the number of gestures is checked: above ``most`` it raises instead of dropping any.
+    A deterministic stand-in for an unseeded neighbour embedding. Up to ``most`` gestures are scaled together in one
+    task. Of more, ``most`` landmarks in hash order are, and every other gesture is placed by its distances to
+    them, which gives the same map wherever distances are those of points in a plane. A distance that is NaN counts as 0.
     """
-    n = distances.select("gesture_i").distinct().count()
-    if n > most:
-        raise ValueError(f"{n} gestures; a map of more than {most} doesn't fit one task")
-    kind = dict(distances.dtypes)["gesture_i"]
-
-    def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if not parts:
-            return
-        m = pd.concat(parts).pivot(index="gesture_i", columns="gesture_j", values="distance").sort_index().sort_index(axis=1)
-        if m.empty:
-            return
-        d = np.nan_to_num(m.to_numpy(dtype=float)) ** 2
-        c = np.eye(len(d)) - 1 / len(d)
-        values, vectors = np.linalg.eigh(-0.5 * c @ d @ c)
-        top = vectors[:, ::-1][:, :2] * np.sqrt(np.maximum(values[::-1][:2], 0))
-        top = np.pad(top, ((0, 0), (0, 2 - top.shape[1])))
-        top *= np.where(top[np.abs(top).argmax(axis=0), range(2)] < 0, -1, 1)
-        yield pd.DataFrame({"x": top[:, 0], "y": top[:, 1], "gesture": m.index})
-
-    return distances.select("gesture_i", "gesture_j", "distance").coalesce(1).mapInPandas(scale, f"x double, y double, gesture {kind}")
+    names = distances.select(F.col("gesture_i").alias("gesture")).distinct()
+    kind = dict(names.dtypes)["gesture"]
+    pairs = distances.select("gesture_i", "gesture_j", F.nanvl(F.col("distance"), F.lit(0.0)).alias("distance"))
+    if names.count() <= most:
+        return pairs.repartition(1).mapInPandas(_scaled, f"gesture {kind}, x double, y double, mx double, my double, mean double").select("x", "y", "gesture")
+    marks = cut(names.orderBy(F.xxhash64("gesture"), "gesture").limit(most))
+    i, j = (F.broadcast(marks.withColumnRenamed("gesture", f"gesture_{k}")) for k in "ij")
+    fixed = cut(pairs.join(i, "gesture_i").join(j, "gesture_j").repartition(1).mapInPandas(_scaled, f"gesture {kind}, x double, y double, mx double, my double, mean double"))
+    rest = pairs.join(i, "gesture_i", "left_anti").join(F.broadcast(fixed.withColumnRenamed("gesture", "gesture_j")), "gesture_j")
+    off = F.col("distance") ** 2 - F.col("mean")
+    placed = rest.groupBy(F.col("gesture_i").alias("gesture")).agg(*[F.sum(-0.5 * off * F.col(m)).alias(a) for a, m in (("x", "mx"), ("y", "my"))])
+    return fixed.select("x", "y", "gesture").unionByName(placed.select("x", "y", "gesture"))
+
+
+def _scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of the gestures of a whole distance matrix, with what places another gesture among them."""
+    parts = list(batches)
+    if not parts:
+        return
+    m = pd.concat(parts).pivot(index="gesture_i", columns="gesture_j", values="distance").sort_index().sort_index(axis=1)
+    if m.empty:
+        return
+    d = np.nan_to_num(m.to_numpy(dtype=float)) ** 2
+    c = np.eye(len(d)) - 1 / len(d)
+    values, vectors = np.linalg.eigh(-0.5 * c @ d @ c)
+    values, vectors = np.maximum(values[::-1][:2], 0), vectors[:, ::-1][:, :2]
+    values, vectors = np.pad(values, (0, 2 - len(values))), np.pad(vectors, ((0, 0), (0, 2 - vectors.shape[1])))
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), range(2)] < 0, -1, 1)
+    place = vectors * np.sqrt(values)
+    weight = vectors / np.sqrt(np.where(values > 1e-12, values, np.inf))
+    yield pd.DataFrame({"gesture": m.index, "x": place[:, 0], "y": place[:, 1], "mx": weight[:, 0], "my": weight[:, 1], "mean": d.mean(axis=1)})

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionloom.operators.sliced import SLICE, running_sum
+from motionloom.runtime import finite
+
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / population deviation; a deviation of 0 counts as 1. The one-row statistics are joined, not collected."""
@@ -282,6 +285,23 @@ def train_and_test(df: DataFrame, label: str, key: Sequence[str], folds: int = 5
     return numbered.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l"))).withColumn("fold", (F.col("_k") > F.col("_t")).cast("int")).drop("_k", "_l", "_t")
 
 
+def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], slices: int = 1024) -> DataFrame:
+    """by and q, the quantiles of ``value`` per group, with linear interpolation between neighbours.
+
+    Equal values are counted first; the counts of a group are cut into ``slices`` ranges of values and summed up
+    over them, so no task sorts a group. Null and not finite values are left out; a group without others has no row.
+    """
+    v = finite(F.col(value))
+    counts = df.select(F.to_json(F.struct(*by)).alias("_g"), *by, v.alias("_v")).where("_v is not null").groupBy("_g", *by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    bounds = counts.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (slices - 1)), F.lit(0))
+    rows = running_sum(counts.join(bounds, "_g").withColumn(SLICE, place), ["_g"], ["_v"], F.col("_n"), "_sum")
+    at = {p: (F.col("_all") - 1) * F.lit(float(p)) for p in probs}
+    found = rows.groupBy("_g", *by).agg(*[F.min(F.when(F.col("_sum") > f(at[p]), F.col("_v"))).alias(f"{n}{k}") for k, p in enumerate(probs) for n, f in (("_a", F.floor), ("_b", F.ceil))], F.max("_all").alias("_all"))
+    between = [F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (at[p] - F.floor(at[p])) for k, p in enumerate(probs)]
+    return found.select(*by, F.array(*between).alias("q"))
+
+
 def cross_validation(df: DataFrame, label: str, predicted: str, fold: str) -> DataFrame:
     """One row: mean and population deviation of the accuracies of the folds, and their number."""
     per = accuracy(df, label, predicted, fold)

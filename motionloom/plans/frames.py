@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from motionloom.operators import features as X
@@ -181,9 +183,19 @@ def w19_motion_gate(spark, d):
     return _em(spark, d, {"moving": gate}, 1, 0).select("track", "frame_idx", "moving")
 
 
-@R.add("w7_smooth_over_time")
+_G8 = [math.exp(-0.5 * (k / 2.0) ** 2) for k in range(-8, 9)]
+_M = "((p + k - 9) % (2 * len(a)) + 2 * len(a)) % (2 * len(a))"
+
+
+def _smooth_sql(a):
+    return f"round(list_sum([g[k] * {a}[1 + CASE WHEN {_M} < len(a) THEN {_M} ELSE 2 * len(a) - 1 - {_M} END] for k in range(1, 18)]), 6)"
+
+
+@R.add("w7_smooth_over_time", f"""{EM}, w AS (SELECT track, frame_idx, list(nose_x) OVER w AS a, list(nose_y) OVER w AS b, least(frame_idx, 8) AS p, [{', '.join(repr(x / sum(_G8)) + '::DOUBLE' for x in _G8)}] AS g FROM frames_em
+  WINDOW w AS (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING)) SELECT track, frame_idx, {_smooth_sql('a')} AS nose_x, {_smooth_sql('b')} AS nose_y FROM w""")
 def w7_smooth_over_time(spark, d):
-    return smooth_over_time(frames_em(spark, d), ["track"], ["nose_x", "nose_y"])
+    s = smooth_over_time(frames_em(spark, d), ["track"], ["nose_x", "nose_y"])
+    return s.select("track", "frame_idx", *[_r(F.col(c), c) for c in ("nose_x", "nose_y")])
 
 
 @R.add("op_p1_pixels", f"{EM} SELECT track, frame_idx, round(nose_x * 640, 6) AS x, round(nose_y * 480, 6) AS y, round(nose_z * 3000, 6) AS z FROM frames_em")

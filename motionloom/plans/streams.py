@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from motionloom.plans.base import Registry
-from motionloom.runtime import cut, table
+from motionloom.runtime import shared_dir, table
 from motionloom.streaming import live
 
 R = Registry()
@@ -20,10 +20,7 @@ def _events(spark, d):
 
 
 def _run(df, mode="append"):
-    name = "s" + uuid.uuid4().hex
-    rows = cut(live.run_to_memory(df, name, mode))
-    df.sparkSession.catalog.dropTempView(name)
-    return rows
+    return live.run_to_files(df, f"{shared_dir(df.sparkSession)}/streams/{uuid.uuid4().hex}", mode)
 
 
 @R.add("r1_buffered_stream", """WITH b AS (SELECT user_id, ts, sum(value) OVER w AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
@@ -39,9 +36,9 @@ def r4_live_gestures(spark, d):
 
 
 @R.add("r5_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
-  SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end_time, count(*) AS n FROM s GROUP BY user_id, k""")
 def r5_sessions(spark, d):
-    return _run(live.online_sessions(_events(spark, d), "user_id", "ts"), "complete").select("user_id", "n")
+    return _run(live.online_sessions(_events(spark, d), "user_id", "ts"), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end_time"), "n")
 
 
 @R.add("r_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -211,8 +211,11 @@ def a26_motion_loss(spark, d):
 
 @R.add("a27_distribution", f"{G} SELECT active_hand, count(duration) AS n, min(duration) AS lo, max(duration) AS hi, round(quantile_cont(duration, 0.25), 6) AS q1, round(quantile_cont(duration, 0.5), 6) AS q2, round(quantile_cont(duration, 0.75), 6) AS q3 FROM gestures GROUP BY active_hand")
 def a27_distribution(spark, d):
-    g = gestures(spark, d).groupBy("active_hand").agg(F.count("duration").alias("n"), F.min("duration").alias("lo"), F.max("duration").alias("hi"), F.percentile("duration", [0.25, 0.5, 0.75]).alias("q"))
-    return g.select("active_hand", "n", "lo", "hi", *[_r(F.col("q")[k], f"q{k + 1}") for k in range(3)])
+    g = gestures(spark, d).select("active_hand", "duration")
+    ends = g.groupBy("active_hand").agg(F.count("duration").alias("n"), F.min("duration").alias("lo"), F.max("duration").alias("hi"))
+    q = L.group_quantiles(g, ["active_hand"], "duration", (0.25, 0.5, 0.75)).withColumnRenamed("active_hand", "h")
+    rows = ends.join(q, F.col("active_hand").eqNullSafe(F.col("h")), "left")
+    return rows.select("active_hand", "n", "lo", "hi", *[_r(F.col("q")[k], f"q{k + 1}") for k in range(3)])
 
 
 @R.add("m9_tiers", f"{TR} SELECT label, CASE WHEN count(*) >= 100000 THEN 255 WHEN count(*) >= 20000 THEN 127 WHEN count(*) >= 5000 THEN 63 ELSE 31 END AS leaves FROM training_rows GROUP BY label")

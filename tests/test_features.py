@@ -218,8 +218,34 @@ def test_distance_matrix(spark):
     near = D.nearest(D.pairwise_distances(s, blocks=3), 2).collect()
     assert len(near) == 10
     assert D.planar_map(D.pairwise_distances(s)).count() == 5
-    with pytest.raises(ValueError):
-        D.planar_map(D.pairwise_distances(s), most=4)
+    assert D.planar_map(D.pairwise_distances(s), most=4).count() == 5
+
+
+@pytest.mark.parametrize("most", [100, 12])
+def test_map_of_points_in_a_plane(spark, most):
+    """Distances of the map are those of the points, for landmarks and for those placed among them."""
+    at = np.random.default_rng(5).normal(size=(40, 2)) * [3, 1]
+    far = np.linalg.norm(at[:, None] - at[None], axis=2)
+    df = spark.createDataFrame([(f"g{i}", f"g{j}", float(far[i, j])) for i in range(40) for j in range(40)], "gesture_i string, gesture_j string, distance double")
+    got = {r.gesture: (r.x, r.y) for r in D.planar_map(df, most).collect()}
+    place = np.array([got[f"g{i}"] for i in range(40)])
+    assert len(got) == 40 and np.allclose(np.linalg.norm(place[:, None] - place[None], axis=2), far, atol=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 8, 9, 12, 17, 40])
+def test_smoothing_over_time_by_slices(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 2))
+    df = spark.createDataFrame([("t", i, *map(float, v)) for i, v in enumerate(x)], "t string, i long, x double, y double")
+    got = G.smooth_over_time(df, ["t"], ["x", "y"], index="i", size=16).orderBy("i").collect()
+    assert np.allclose([[r.x, r.y] for r in got], G.gaussian(x, 2.0))
+
+
+def test_group_quantiles(spark):
+    rng = np.random.default_rng(8)
+    v = {k: np.round(rng.gamma(1.0, 3.0, n), 1) for k, n in (("a", 900), ("b", 7), (None, 30), ("c", 1))}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in xs] + [("a", None), ("d", None), ("a", float("nan"))], "g string, x double")
+    got = {r.g: r.q for r in L.group_quantiles(df, ["g"], "x", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    assert set(got) == set(v) and all(np.allclose(got[k], np.quantile(v[k], [0, 0.25, 0.5, 0.9, 1])) for k in v)
 
 
 def test_series_of_whole_tracks(spark, tmp_path):

@@ -3,9 +3,11 @@
 import importlib
 import os
 import sys
+import time
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from motionloom.api import GestureDetector, LiveDetector, Options, available_models, load_model, model_file, numbered_frames, refinement, save_model
@@ -70,7 +72,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 20 : part * 20 + 20], "k long, t double, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = live.file_stream(spark, str(tmp_path / "in"), "*.parquet", "k long, t double, v double")
-    out = live.run_to_memory(live.buffered_sums(stream, "k", "t", "v"), "buffered").collect()
+    out = live.run_to_files(live.buffered_sums(stream, "k", "t", "v"), str(tmp_path / "run")).collect()
     want = []
     for k in range(3):
         v = [(t, x) for q, t, x in rows if q == k]
@@ -95,6 +97,32 @@ def test_live_detector(spark, tmp_path):
     assert summary.first().raw_gesture_frames == 26 and summary.first().processed_segments == 1
 
 
+def test_status_limit_and_retries(spark, tmp_path):
+    for k in range(4):
+        spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    rows = live.file_stream(spark, str(tmp_path / "in" / "part*"), "*.parquet", "id long")
+    status = live.Status(live.Status.to_csv(str(tmp_path / "metrics.csv")))
+    spark.streams.addListener(status)
+    try:
+        start = lambda n: live.write_table(rows, str(tmp_path / f"out{n}"), str(tmp_path / f"cp{n}"))
+        assert live.run_with_retries(lambda: start(0)) == 1
+        for _ in range(100):
+            if (tmp_path / "metrics.csv").exists() and len((tmp_path / "metrics.csv").read_text().splitlines()) == 3:
+                break
+            time.sleep(0.1)
+        lines = (tmp_path / "metrics.csv").read_text().splitlines()
+        assert lines[0] == "stream,frames,frames_per_second" and [int(x.split(",")[1]) for x in lines[1:]] == [2000, 3000]
+        assert live.run_for(start(1), 60) and not live.run_for(rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp2")).trigger(processingTime="1 second").start(), 1)
+    finally:
+        spark.streams.removeListener(status)
+
+    def fail(batch, number):
+        raise ValueError("broken")
+
+    with pytest.raises(StreamingQueryException):
+        live.run_with_retries(lambda: live.write_table(rows, str(tmp_path / "out3"), str(tmp_path / "cp3"), fail), tries=2, wait=0.0)
+
+
 def test_batch_detector(spark, tmp_path):
     rows = [("a", i, i / 25, 0.9 if i > 10 else 0.1, 0.8 if i > 10 else 0.05, 0.1, 0.1 if i > 10 else 0.9) for i in range(60)]
     df = spark.createDataFrame(rows, "track_id string, frame_idx long, time double, has_motion double, gesture_confidence double, move_confidence double, nogesture_confidence double")
