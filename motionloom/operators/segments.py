@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionloom.operators.sliced import SLICE, chains, cut_by, running_sum
@@ -52,7 +52,10 @@ def _frames(df: DataFrame, track: str, time: str, label: str, tie: str, slice_s:
         F.col(label).alias("label"),
         F.col(tie).alias("tie"),
     ).where("track_id is not null and time is not null")
-    return cut_by(rows, "time", slice_s)
+    # Sorted once for this and for the runs: the windows share partitions and the beginning of their order.
+    w = Window.partitionBy("track_id", SLICE).orderBy("time", "tie", "label")
+    again = F.coalesce((F.lag("time").over(w) == F.col("time")) & (F.lag("tie").over(w) == F.col("tie")), F.lit(False))
+    return cut_by(rows, "time", slice_s).withColumn("again", again).where("not again").drop("again")
 
 
 def _runs(df: DataFrame, track: str, time: str, label: str, tie: str, slice_s: float) -> DataFrame:
@@ -117,7 +120,8 @@ def create_segments(
     Runs of labels other than NoGesture, labelled by majority; neighbours with the same label
     and a gap of at most ``min_gap_s`` are merged; then segments shorter than ``min_length_s``
     are dropped and the rest numbered from 1 per track. Frames without track or time are left
-    out, a null label counts as NoGesture, ``tie`` orders frames of equal time. The result is typed even when empty.
+    out, a null label counts as NoGesture, ``tie`` orders frames of equal time; rows that repeat track, time and
+    tie count once, the one with the smallest label. The result is typed even when empty.
     """
     merged = _merge(_runs(df, track, time, label, tie, slice_s), True, min_gap_s, slice_s, {})
     kept = merged.select("track_id", "start_time", "end_time", "label", (F.col("end_time") - F.col("start_time")).alias("duration")).where(F.col("duration") >= min_length_s)

@@ -14,12 +14,13 @@ from motionloom.runtime import finite, table
 THRESHOLD = 0.6
 
 
-def predictions(spark: SparkSession, d: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Frame predictions with the label their confidences give; one row per ann_id."""
+def predictions(spark: SparkSession, d: str, threshold: float = THRESHOLD, once: bool = True) -> DataFrame:
+    """Frame predictions with the label their confidences give; one row per ann_id, or where ``once`` is false one per delivery, for operators that count repeated rows once themselves."""
     rows = table(spark, d, "annotations").select(
         "ann_id", "track_id", finite(F.col("time")).alias("time"), "has_motion", "nogesture_confidence", "gesture_confidence", "move_confidence"
     )
-    rows = rows.where("time is not null and track_id is not null").distinct()
+    rows = rows.where("time is not null and track_id is not null")
+    rows = rows.distinct() if once else rows
     return rows.withColumn("label", threshold_label(F.col("nogesture_confidence"), F.col("gesture_confidence"), F.col("move_confidence"), threshold, threshold))
 
 

@@ -44,17 +44,17 @@ def _rounded(df):
 
 @R.add("a1_segments", f"{SEGMENTS_SQL} SELECT {_COLS} FROM segments")
 def a1_segments(spark, d):
-    return _rounded(S.create_segments(predictions(spark, d)))
+    return _rounded(S.create_segments(predictions(spark, d, once=False)))
 
 
 @R.add("a1_segments_fine", f"WITH {_segments_sql(0.04, 0.12)} SELECT {_COLS} FROM segments")
 def a1_segments_fine(spark, d):
-    return _rounded(S.create_segments(predictions(spark, d), min_gap_s=0.04, min_length_s=0.12))
+    return _rounded(S.create_segments(predictions(spark, d, once=False), min_gap_s=0.04, min_length_s=0.12))
 
 
 @R.add("a2_session_segments", f"{SEGMENTS_SQL} SELECT {_COLS} FROM session_segments")
 def a2_session_segments(spark, d):
-    return _rounded(S.create_session_segments(predictions(spark, d)))
+    return _rounded(S.create_session_segments(predictions(spark, d, once=False)))
 
 
 @R.add("f2_threshold_label", f"{P} SELECT ann_id, label FROM predictions")
@@ -162,7 +162,7 @@ def p27_lookup(spark, d):
 @R.add("j1_label_at_time", f"""{SEGMENTS_SQL} SELECT p.ann_id, coalesce(arg_min(s.label, s.labelid), 'NoGesture') AS segment_label
   FROM predictions p LEFT JOIN segments s ON p.track_id = s.track_id AND p.time BETWEEN s.start_time AND s.end_time GROUP BY p.ann_id""")
 def j1_label_at_time(spark, d):
-    p = predictions(spark, d)
+    p = predictions(spark, d, once=False)
     return S.label_at_time(p.select("ann_id", "track_id", "time"), S.create_segments(p)).select("ann_id", "segment_label")
 
 
@@ -178,7 +178,7 @@ def j2_segment_rows(spark, d):
 @R.add("k4_slots", f"""{SEGMENTS_SQL} SELECT track_id, 'ts' || (2 * labelid - 1)::BIGINT AS slot_id, trunc(start_time * 1000)::BIGINT AS ms FROM segments
   UNION ALL SELECT track_id, 'ts' || (2 * labelid)::BIGINT, trunc(end_time * 1000)::BIGINT FROM segments""")
 def k4_slots(spark, d):
-    return S.annotation_slots(S.create_segments(predictions(spark, d))).select("track_id", "slot_id", "ms")
+    return S.annotation_slots(S.create_segments(predictions(spark, d, once=False))).select("track_id", "slot_id", "ms")
 
 
 @R.add("j8_annotation_refs", f"""WITH {_segments_sql(0.3, 0.5)}, t AS (SELECT track_id, (2 * labelid - 1)::BIGINT AS slot, trunc(start_time * 1000)::BIGINT AS ms FROM segments UNION ALL SELECT track_id, (2 * labelid)::BIGINT, trunc(end_time * 1000)::BIGINT FROM segments),
@@ -186,7 +186,7 @@ def k4_slots(spark, d):
   SELECT s.track_id, 'a' || s.labelid AS annotation_id, 'ts' || x.slot AS slot_ref1, 'ts' || y.slot AS slot_ref2, s.label FROM segments s
   JOIN last x ON x.track_id = s.track_id AND x.ms = trunc(s.start_time * 1000)::BIGINT JOIN last y ON y.track_id = s.track_id AND y.ms = trunc(s.end_time * 1000)::BIGINT""")
 def j8_annotation_refs(spark, d):
-    return S.annotation_refs(S.create_segments(predictions(spark, d)))
+    return S.annotation_refs(S.create_segments(predictions(spark, d, once=False)))
 
 
 _FIXED = [
@@ -203,7 +203,7 @@ _FIXED = [
   SELECT s.track_id, 3, s.labelid::BIGINT, '    <ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a' || s.labelid || '" TIME_SLOT_REF1="ts' || x.slot || '" TIME_SLOT_REF2="ts' || y.slot || '"><ANNOTATION_VALUE>' || s.label || '</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>'
   FROM segments s JOIN last x ON x.track_id = s.track_id AND x.ms = trunc(s.start_time * 1000)::BIGINT JOIN last y ON y.track_id = s.track_id AND y.ms = trunc(s.end_time * 1000)::BIGINT""")
 def k4_annotation_files(spark, d):
-    return annotation_lines(S.create_segments(predictions(spark, d)))
+    return annotation_lines(S.create_segments(predictions(spark, d, once=False)))
 
 
 @R.add("w10_display_window", f"""{P}, b AS (SELECT *, min(time) OVER (PARTITION BY track_id) AS lo, max(time) OVER (PARTITION BY track_id) AS hi FROM predictions),
@@ -268,17 +268,17 @@ def u4_distinct(spark, d):
 
 @R.add("u7_best_track", f"{SEGMENTS_SQL} SELECT track_id, arg_max(labelid, (duration, labelid)) AS longest FROM segments GROUP BY track_id")
 def u7_best_track(spark, d):
-    s = S.create_segments(predictions(spark, d))
+    s = S.create_segments(predictions(spark, d, once=False))
     return s.groupBy("track_id").agg(F.max_by("labelid", F.struct("duration", "labelid")).alias("longest"))
 
 
 @R.add("k13_missing_outputs", f"{SEGMENTS_SQL} SELECT DISTINCT track_id FROM predictions WHERE track_id NOT IN (SELECT track_id FROM segments)")
 def k13_missing_outputs(spark, d):
-    p = predictions(spark, d)
+    p = predictions(spark, d, once=False)
     return p.select("track_id").distinct().join(S.create_segments(p), "track_id", "left_anti")
 
 
 @R.add("j7_semi", f"{SEGMENTS_SQL} SELECT DISTINCT track_id FROM predictions WHERE track_id IN (SELECT track_id FROM segments)")
 def j7_semi(spark, d):
-    p = predictions(spark, d)
+    p = predictions(spark, d, once=False)
     return p.select("track_id").distinct().join(S.create_segments(p), "track_id", "left_semi")
