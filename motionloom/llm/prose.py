@@ -1,10 +1,11 @@
-"""What one piece of text tells about itself: additive counts, and how much of it is running language.
+"""What one piece of text tells about itself: its blocks and their figures, by which a model tells running language.
 
 Everything here is plain Python over one string; the Spark side is in ``textstats``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -18,17 +19,17 @@ COMMON_WORDS = {
         some something still such than that the their them then there these they this those though through to too two
         under until up us very was we well were what when where whether which while who why will with without would
         yeah yes you your""",
-    "de": """aber alle als am an auch auf aus bei bis bitte da danach dann das dass dem den der des die dies diese dieser
+    "de": """aber alle als am an auch auf aus bei bis da danach dann das dass dem den der des die dies diese dieser
         dort durch ein eine einem einen einer eines er es etwa für gibt gilt hat hier ich ihr im in ist ja jede kein
-        keine kommen mehr mich mit nach nicht noch nur oder ohne sehr sich sie sind so über um und uns unter vom von vor
+        keine mehr mich mit nach nicht noch nur oder ohne sehr sich sie sind so über um und uns unter vom von vor
         waren warum was wegen weil wenn werden wie wieder wir wird wurde wurden zu zum zur zwei""",
-    "nl": """aan al alleen als bij daar daarna dan dat de deze die dit door een en er geen geteld haar heb hebben heeft het
-        hier hij hoe ik in is je kan maar me meer met mij mijn na naar naast niet nog of om omdat onder ook op over
-        plotseling rust te tegen toch toen tot uit van veel voor waarom waren was wat we weer wel werd wij wijst worden
+    "nl": """aan al alleen als bij daar daarna dan dat de deze die dit door een en er geen haar heb hebben heeft het
+        hier hij hoe ik in is je kan maar me meer met mij mijn na naar naast niet nog of om omdat onder ook op over te
+        tegen toch toen tot uit van veel voor waarom waren was wat we weer wel werd wij worden
         wordt zeer zich zij zijn zo zonder""",
-    "es": """a al algo ante con como contaron cuando de del desde después donde dos el ella en entre era es esta este esto
-        está falta fue fueron ha han hasta la las le lo los luego mano más me mi mientras muy no nos nunca para pero poco
-        por porque qué que se ser si sin sobre solo son su sus también tan todo todos tras un una unos vuelve y ya""",
+    "es": """a al algo ante con como cuando de del desde después donde dos el ella en entre era es esta este esto
+        está fue fueron ha han hasta la las le lo los luego más me mi mientras muy no nos nunca para pero poco
+        por porque qué que se ser si sin sobre solo son su sus también tan todo todos tras un una unos y ya""",
     "fr": """au aux avec ce ces cette dans de des du elle en est et était il ils je la le les leur lui mais même ne nous on
         ou où par pas plus pour qu que qui sa sans se ses son sont sur tout un une vous y""",
     "ru": """а без был была были было в во вот все всего где для до его если есть ещё же за и из или их к как когда мы на
@@ -54,13 +55,17 @@ _NEWLINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|&[a-z]{2,8};|&#\d{1,6};")
 _END = re.compile(r"[.!?…:;。！？\"”»)]\W*$")
-_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 _BULLET = re.compile(r"^\s*(?:[-–—•*·▪◦+]\s|\(?\d{1,5}[.)]\s|#\d{1,5}\s|\[[ xX]?\]\s)")
 _KANA = re.compile(r"[぀-ゟ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _INNER = re.compile(r"[^\W\d_][|/\\§°^_~;:,.@#*=+{}\[\]<>]+[^\W\d_]")
 _STAMP = re.compile(r"^\W*\d{4}-\d\d-\d\d\b.*\b\d{1,2}:\d\d")
 _CLOCKED = re.compile(r"\b0x[0-9a-fA-F]{4,}\b|\b[A-Z]{3,5}\b\s*\[\d+\]")
+_VOWEL = re.compile(r"[aeiouyäöüáéíóúàèâêîôûαεηιουωάέήίόύώаеёиоуыэюяій]", re.I)
+_SEPARATOR = re.compile(r"[,;/|•»·]|\s[-–=]\s|:\s|#\w")
+_STOP = re.compile(r"[.!?。](?:\s|$)")
+_COMMA = re.compile(r",\s")
+_CASED = re.compile(r"[^.!?:;,\"“”«»()\-–—…'\n\r]\s+([A-Z][a-z]+)\b")
 _LONGRUN = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|^[bcdfghjklmnpqrstvwxz;]{3,}$", re.I)
 _PIECE = 1200
 CHUNK = 60_000
@@ -94,64 +99,64 @@ def structured(line: str) -> bool:
     return bool(re.match(r"^[\w./\\-]+\.\w{2,4}$", s)) and ("/" in s or "_" in s)
 
 
-def running(text: str, n_lines: int = 1) -> bool:
-    """Whether one paragraph is running language of any kind."""
-    # Tags stand in prose too; only their content is read.
+# What is told of a block, in this order.
+FIGURES = (
+    "letters", "digits", "cjk", "kana", "words", "size", "latin", "common", "different_words", "different_pairs", "different_letter_pairs",
+    "word_length", "word_length_spread", "long_words", "long_tokens", "hard_words", "vowelless", "broken_words", "separators", "sentence_ends",
+    "commas", "words_a_line", "bullets", "ended", "structured", "lines", "odd_followers", "odd_capitals", "short_common", "alternation", "odd_pairs",
+)
+
+
+def figures(block: list[str]) -> list[float]:
+    """The ``FIGURES`` of a block of lines; tags, quote marks and speakers' names are left out, as they stand in prose too."""
+    text = "\n".join(block)
     bare = _SPEAKER.sub("", _QUOTE.sub("", _TAG.sub(" ", _MARK.sub(" ", text))))
-    dense = [c for c in bare if not c.isspace()]
-    if not dense:
-        return False
-    letters = sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in dense) / len(dense)
-    digits = sum(c.isdigit() for c in dense) / len(dense)
-    cjk = len(_CJK.findall(bare)) / len(dense)
-    if cjk > 0.3:
-        chars = [c for c in dense if c.isalpha()]
-        pairs = {a + b for a, b in zip(chars, chars[1:])}
-        return len(_KANA.findall(bare)) / len(dense) > 0.12 and len(pairs) > 0.12 * min(len(chars), 400) or cjk > 0.6 and not _KANA.search(bare)
-    if letters < 0.55 or digits > 0.4 and letters < 0.6:
-        return False
-    words = [w.lower().replace("’", "'") for w in _WORD.findall(bare)]
-    n = len(words)
-    if not n:
-        return False
-    if sum(len(w) for w in words if len(w) > 35) > 0.3 * sum(map(len, words)):
-        return False
-    # Machine strings: words broken by digits and capitals inside.
     tokens = bare.split()
-    mixed = sum(len(t) for t in tokens if len(t) > 25 and re.search(r"\d", t) and re.search(r"[a-z][A-Z]|[A-Z][a-z]+[A-Z]", t))
-    if mixed > 0.4 * len(dense):
-        return False
-    if n >= 10 and len(set(words)) < 0.25 * min(n, 60) or n >= 16 and len(set(zip(words, words[1:]))) < 0.3 * min(n, 80):
-        return False
-    if n >= 6 and len(_INNER.findall(bare)) > 0.16 * n:
-        return False
-    latin = sum(w[0] < "ɐ" for w in words) / n
-    common = sum(w in COMMON for w in words) / n
-    if latin > 0.5 and n >= 6:
-        broken = sum(bool(_LONGRUN.search(w)) and w not in COMMON for w in words) / n
-        if broken > 0.22 and common < 0.2:
-            return False
-    if n >= 12:
-        follow = [b in _NO_FOLLOW and (a, b) not in _ALLOWED for a, b in zip(words, words[1:]) if a in _ARTICLES]
-        if sum(follow) >= 2 and sum(follow) > 0.14 * len(follow) and not re.search(r"[,.;]\s", bare[: len(bare) // 2]):
-            return False
-        # Long stretches without any mark need to read well: speech does, shuffled words don't.
-        if n >= 40 and common < 0.5 and sum(follow) > 0.1 * len(follow) and not re.search(r"[,.;!?]\s", bare):
-            return False
-        cased = re.findall(r"[^.!?:;,\"“”«»()\-–—…'\n\r]\s+([A-Z][a-z]+)\b", bare)
-        odd = sum(w.lower() in COMMON and w != "I" for w in cased)
-        if odd >= 3 and odd > 0.02 * n and sum(w.islower() for w in _WORD.findall(bare)) > 0.6 * n and not re.search(r"\n", bare):
-            return False
-    if latin < 0.5:
-        return n >= 4 and (common > 0.08 or len(set(words)) > 0.4 * min(n, 160))
-    # A heading or a list glued to sentences still has commas; only a high share of them counts.
-    separators = len(re.findall(r"[,;/|•»·]|\s[-–=]\s|:\s|#\w", bare))
-    if separators > 0.22 * n and common < 0.36:
-        return False
-    need = 0.22 if n >= 12 else 0.26
-    if n_lines >= 3 and n / n_lines < 5.5:
-        need += 0.1
-    return n >= 3 and common >= need
+    dense = "".join(tokens)
+    size, n_lines = max(1, len(dense)), len(block)
+    words = [w.lower().replace("’", "'") for w in _WORD.findall(bare)]
+    n, m = len(words), max(1, len(words))
+    letters = [c for c in dense if c.isalpha()]
+    marks = 0 if dense.isascii() else sum(unicodedata.category(c)[0] == "M" for c in dense if not c.isascii())
+    common = [w in COMMON for w in words]
+    pairs = list(zip(words, words[1:]))
+    articles = [b in _NO_FOLLOW and (a, b) not in _ALLOWED for a, b in pairs if a in _ARTICLES]
+    length = [len(w) for w in words]
+    mean = sum(length) / m
+    latin = [w for w in words if w[0] < "ɐ"]
+    return [
+        (len(letters) + marks) / size,
+        sum(map(str.isdigit, dense)) / size,
+        len(_CJK.findall(bare)) / size,
+        len(_KANA.findall(bare)) / size,
+        math.log1p(n),
+        math.log1p(len(dense)),
+        len(latin) / m,
+        sum(common) / m,
+        len(set(words)) / min(m, 60),
+        len(set(pairs)) / max(1, min(n - 1, 80)),
+        len(set(zip(letters, letters[1:]))) / max(1, min(len(letters), 400)),
+        mean,
+        math.sqrt(sum((x - mean) ** 2 for x in length) / m),
+        sum(x > 20 for x in length) / m,
+        sum(len(x) > 25 for x in tokens) / max(1, len(tokens)),
+        sum(bool(_LONGRUN.search(w)) and w not in COMMON for w in words) / m,
+        sum(not _VOWEL.search(w) for w in latin) / m,
+        len(_INNER.findall(bare)) / m,
+        len(_SEPARATOR.findall(bare)) / m,
+        len(_STOP.findall(bare)) / m,
+        len(_COMMA.findall(bare)) / m,
+        n / n_lines,
+        sum(bool(_BULLET.match(x)) for x in block) / n_lines,
+        sum(bool(_END.search(x)) for x in block) / n_lines,
+        sum(structured(x) for x in block) / n_lines,
+        math.log1p(n_lines),
+        sum(articles) / max(1, len(articles)),
+        sum(w.lower() in COMMON and w != "I" for w in _CASED.findall(bare)) / m,
+        sum(c for c, w in zip(common, words) if len(w) <= 4) / m,
+        sum(a != b for a, b in zip(common, common[1:])) / m,
+        sum(a in _NO_FOLLOW and b in _NO_FOLLOW for a, b in pairs) / m,
+    ]
 
 
 def split_points(text: str, size: int = CHUNK) -> list[tuple[int, int]]:
@@ -175,35 +180,29 @@ def units(text: str) -> Iterator[str]:
             yield line
 
 
-def language_share(text: str, before: str = "") -> tuple[int, int]:
-    """Characters that are not white space: in running language, and in all. A paragraph also ends where a chunk does.
+def blocks(text: str, before: str = "") -> list[tuple[int, list[float] | None]]:
+    """Size (characters that aren't white space) and figures of every block of a text; figures are None where a line comes for the third time or more.
 
-    ``text`` is in composed form; ``before`` holds what stands before it, of which the last two lines matter.
+    A block ends at an empty line, where lines change between enumeration, table and others, after about a
+    thousand characters and where a chunk ends, so chunks give what the whole gives. ``text`` is in composed
+    form; ``before`` holds what stands before it, of which the last two lines matter.
     """
-    good = total = 0
+    out: list[tuple[int, list[float] | None]] = []
     for a, b in split_points(text):
         back = text[max(0, a - EDGE) : a] if a else before
-        some, every = _share(text[a:b], [x.strip() for x in list(units(back))[-3:]])
-        good, total = good + some, total + every
-    return good, total
+        out += _blocks(text[a:b], [x.strip() for x in list(units(back))[-3:]])
+    return out
 
 
-def _share(text: str, past: list[str]) -> tuple[int, int]:
-    good = total = 0
+def _blocks(text: str, past: list[str]) -> list[tuple[int, list[float] | None]]:
+    out: list[tuple[int, list[float] | None]] = []
     block: list[str] = []
+    kind = None
 
-    def close() -> int:
-        if not block:
-            return 0
-        size = sum(len("".join(x.split())) for x in block)
-        short = [x for x in block if _BULLET.match(x)]
-        if len(short) > 0.6 * len(block) and len(block) >= 3:
-            body = [_BULLET.sub("", x) for x in block]
-            sentences = sum(bool(_SENTENCE_END.search(x.strip())) and len(_WORD.findall(x)) >= 7 for x in body)
-            ok = sentences > 0.6 * len(body) and running("\n".join(body), len(body))
-        else:
-            ok = running("\n".join(block), len(block))
-        return size if ok else 0
+    def close() -> None:
+        if block:
+            out.append((sum(len("".join(x.split())) for x in block), figures(block)))
+            block.clear()
 
     # A chunk that begins at a line end has an empty line last among those before it.
     past = past[:-1] if past and not past[-1] else past
@@ -212,25 +211,21 @@ def _share(text: str, past: list[str]) -> tuple[int, int]:
     for piece in units(text):
         bare = piece.strip()
         if not bare:
-            good += close()
-            block = []
+            close()
             last, repeats = None, 0
             continue
-        size = len("".join(piece.split()))
-        total += size
         repeats = repeats + 1 if bare == last else 0
-        if structured(piece) or repeats >= 2:
-            good += close()
-            block = []
+        if repeats >= 2:
+            close()
+            out.append((len("".join(piece.split())), None))
         else:
-            # Prose above or below an enumeration is judged by itself.
-            marked = bool(_BULLET.match(piece))
-            if block and marked != bool(_BULLET.match(block[-1])):
-                good += close()
-                block = []
+            own = (bool(_BULLET.match(piece)), structured(piece))
+            if own != kind:
+                close()
+                kind = own
             block.append(piece)
             if sum(map(len, block)) > _PIECE:
-                good += close()
-                block = []
+                close()
         last = bare
-    return good + close(), total
+    close()
+    return out

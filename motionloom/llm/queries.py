@@ -15,7 +15,7 @@ from motionloom.llm.leaks import leaked_spans, leaks, removal_spans
 from motionloom.llm.quantiles import merge_counts, percentiles, value_counts
 from motionloom.llm.runs import collapse_runs
 from motionloom.llm.splits import TARGETS, split_records
-from motionloom.llm.textstats import text_statistics
+from motionloom.llm.textstats import fit_running_language, text_statistics
 from motionloom.operators.outliers import implausible_peaks
 from motionloom.runtime import cut, table
 
@@ -153,12 +153,17 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
+def _text_statistics(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return text_statistics(documents, fit_running_language(documents, table(spark, d, "doc_kinds")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return text_statistics(table(spark, d, "documents")).where("not_prose").select("doc_id")
+    return _text_statistics(spark, d).where("not_prose").select("doc_id")
 
 
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:
-    return text_statistics(table(spark, d, "documents"))
+    return _text_statistics(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

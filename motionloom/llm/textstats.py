@@ -4,24 +4,27 @@ Method: documents longer than a bound are cut into chunks at line ends or white
 spread over the cluster; every chunk gives additive counts, corrected by the state at
 its edges (a word or a line that goes on across an edge counts once, a repeated line is known by
 the lines before); the counts are summed per document through partial aggregation and turned into
-ratios and an outcome.
+ratios and an outcome. Which blocks of a text are running language is told by a model fitted on
+hand-labelled documents.
 """
 
 from __future__ import annotations
 
-import itertools
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionloom.llm import prose
 from motionloom.llm.prose import CHUNK, EDGE, split_points
+from motionloom.operators.trees import TreeModel, train_trees
 from motionloom.runtime import cut, spread
 
 _COUNTS = ("n_dense", "n_words", "word_chars", "n_common", "n_symbols", "n_digits", "n_lines", "n_ended", "n_bullets", "n_running")
+PROSE = ("not prose", "prose")
 
 
 def chunk_counts(text: str, before: str = "", after: str = "") -> list[int]:
@@ -38,10 +41,9 @@ def chunk_counts(text: str, before: str = "", after: str = "") -> list[int]:
     ended = [bool(prose._END.search(x)) for x in lines]
     if prose._NEWLINE.split(text)[-1].strip() and prose._NEWLINE.split(after)[0].strip():
         ended.pop()  # its end comes in the next chunk
-    good, dense = prose.language_share(text, before)
     symbols = sum(not c.isalnum() and not c.isspace() for c in text)
     return [
-        dense,
+        len("".join(text.split())),
         n_words,
         word_chars,
         sum(w.lower().replace("’", "'") in prose.COMMON for w in words),
@@ -50,17 +52,32 @@ def chunk_counts(text: str, before: str = "", after: str = "") -> list[int]:
         n_lines,
         sum(ended),
         sum(bool(prose._BULLET.match(x)) for x in lines),
-        good,
     ]
 
 
-def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def running_chars(texts: list[str], befores: list[str], model: TreeModel | None) -> list[int]:
+    """Characters in blocks of running language, for each text; one call of the model for all of them."""
+    at, size, figures = [], [], []
+    for n, (text, before) in enumerate(zip(texts, befores)):
+        for chars, block in prose.blocks(text, before):
+            if block is not None:
+                at.append(n)
+                size.append(chars)
+                figures.append(block)
+    if not figures or model is None:
+        return [0] * len(texts)
+    good = model.predict(np.array(figures))[:, model.labels.index("prose")] > 0.5
+    return np.bincount(at, np.array(size) * good, len(texts)).astype(int).tolist()
+
+
+def _first(batches: Iterator[pd.DataFrame], model: TreeModel | None) -> Iterator[pd.DataFrame]:
     """The counts of short texts; the chunks of long ones, uncounted."""
     for pdf in batches:
         text = [unicodedata.normalize("NFC", t) for t in pdf["text"]]
         short = [len(t) <= CHUNK for t in text]
         size = pdf["text"].map(len)
-        yield _counted(pdf["doc"][short], size[short], [t for t, ok in zip(text, short) if ok], None, None)
+        few = [t for t, ok in zip(text, short) if ok]
+        yield _counted(pdf["doc"][short], size[short], few, [""] * len(few), [""] * len(few), model)
         for doc, n, t, ok in zip(pdf["doc"], size, text, short):
             parts = [] if ok else split_points(t)
             for k in range(0, len(parts), 64):
@@ -74,15 +91,16 @@ def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield out
 
 
-def _second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _second(batches: Iterator[pd.DataFrame], model: TreeModel | None) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield _counted(pdf["doc"], pdf["n_chars"], pdf["chunk"], pdf["before"], pdf["after"]).drop(columns=["chunk", "before", "after"])
+        out = _counted(pdf["doc"], pdf["n_chars"], pdf["chunk"].to_list(), pdf["before"].to_list(), pdf["after"].to_list(), model)
+        yield out.drop(columns=["chunk", "before", "after"])
 
 
-def _counted(doc: pd.Series, n_chars: pd.Series, text: Iterable[str], before: Iterable[str] | None, after: Iterable[str] | None) -> pd.DataFrame:
-    blank = itertools.repeat("")
-    rows = [chunk_counts(t, b, a) for t, b, a in zip(text, blank if before is None else before, blank if after is None else after)]
-    out = pd.DataFrame(rows, columns=list(_COUNTS), dtype="int64")
+def _counted(doc: pd.Series, n_chars: pd.Series, text: list[str], before: list[str], after: list[str], model: TreeModel | None) -> pd.DataFrame:
+    rows = [chunk_counts(t, b, a) for t, b, a in zip(text, before, after)]
+    out = pd.DataFrame(rows, columns=list(_COUNTS[:-1]), dtype="int64")
+    out["n_running"] = running_chars(text, before, model)
     out.insert(0, "doc", doc.to_numpy())
     out.insert(1, "n_chars", n_chars.to_numpy())
     for c in ("chunk", "before", "after"):
@@ -90,9 +108,53 @@ def _counted(doc: pd.Series, n_chars: pd.Series, text: Iterable[str], before: It
     return out
 
 
-def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def labelled(kinds: DataFrame, doc_id: str = "doc_id", kind: str = "kind") -> DataFrame:
+    """doc, prose of every document on which most coders agree, whatever the case of their labels; a tie tells nothing."""
+    name = F.lower(F.trim(kind))
+    votes = kinds.where(F.col(doc_id).isNotNull() & (name != "")).groupBy(F.col(doc_id).cast("long").alias("doc"))
+    share = votes.agg(F.avg((name == "prose").cast("int")).alias("share"))
+    return share.where("share <> 0.5").select("doc", (F.col("share") > 0.5).alias("prose"))
+
+
+def fit_running_language(
+    df: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", text: str = "text", most_docs: int = 5_000, most_blocks: int = 20_000, rounds: int = 60
+) -> TreeModel | None:
+    """A model that tells blocks of running language from others, fitted on hand-labelled documents.
+
+    The fit, and nothing else, uses a bounded sample: at most ``most_docs`` labelled documents and ``most_blocks``
+    of their blocks, in hash order. A block is first taken to be what its document is; as documents mix and coders
+    err, the model then relabels the blocks it clearly tells otherwise, and is fitted once more. None where the
+    sample hasn't both kinds.
+    """
+    some = labelled(kinds, doc_id).orderBy(F.xxhash64("doc"), "doc").limit(most_docs)
+    docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null")
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                (doc, n, bool(label), block)
+                for doc, label, t in zip(pdf["doc"], pdf["prose"], pdf["text"])
+                for n, (_, block) in enumerate(prose.blocks(unicodedata.normalize("NFC", t)))
+                if block is not None
+            ]
+            yield pd.DataFrame(rows, columns=["doc", "n", "prose", "figures"])
+
+    told = docs.join(F.broadcast(some), "doc").mapInPandas(tell, "doc long, n long, prose boolean, figures array<double>")
+    rows = told.orderBy(F.xxhash64("doc", "n"), "doc", "n", "figures").limit(most_blocks).toPandas()
+    if rows["prose"].nunique() < 2:
+        return None
+    x, given = np.stack(rows["figures"].map(np.asarray).to_list()), rows["prose"].to_numpy().astype(int)
+    p = train_trees(x, given, PROSE, rounds=rounds).predict(x)[:, 1]
+    clear = np.where((given == 0) & (p > 0.6), 1, np.where((given == 1) & (p < 0.25), 0, given))
+    return train_trees(x, clear if len(set(clear)) == 2 else given, PROSE, rounds=rounds)
+
+
+def text_statistics(df: DataFrame, model: TreeModel | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: figures of its text and whether more than half of it is no running language.
 
+    ``model`` (``fit_running_language``) tells which blocks are running language; without one running_share is null
+    and not_prose false.
+
     Columns: doc_id, n_chars, n_words, mean_word_length, symbol_ratio, digit_ratio, n_lines,
     ended_line_share, bullet_line_share, common_word_share, running_share, not_prose.
     Null, empty and blank texts get zero counts, null ratios and not_prose false. Texts of any
@@ -102,9 +164,10 @@ def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     base = df.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc is not null")
     counts = ", ".join(f"{c} long" for c in ("n_chars", *_COUNTS))
-    first = cut(spread(base).mapInPandas(_first, f"doc long, {counts}, chunk string, before string, after string"))
+    shared = df.sparkSession.sparkContext.broadcast(model)  # some dozens of small trees
+    first = cut(spread(base).mapInPandas(lambda b: _first(b, shared.value), f"doc long, {counts}, chunk string, before string, after string"))
     long = first.where("chunk is not null").select("doc", "n_chars", "chunk", "before", "after").repartition(F.xxhash64("doc", "chunk"))
-    parts = first.where("chunk is null").drop("chunk", "before", "after").unionByName(long.mapInPandas(_second, f"doc long, {counts}"))
+    parts = first.where("chunk is null").drop("chunk", "before", "after").unionByName(long.mapInPandas(lambda b: _second(b, shared.value), f"doc long, {counts}"))
     total = parts.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("n_chars", *_COUNTS)])
 
     def ratio(a: str, b: str) -> Column:
@@ -121,6 +184,6 @@ def text_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         ratio("n_ended", "n_lines").alias("ended_line_share"),
         ratio("n_bullets", "n_lines").alias("bullet_line_share"),
         ratio("n_common", "n_words").alias("common_word_share"),
-        ratio("n_running", "n_dense").alias("running_share"),
-        (F.col("n_running") * 2 < F.col("n_dense")).alias("not_prose"),
+        (ratio("n_running", "n_dense") if model else F.lit(None).cast("double")).alias("running_share"),
+        ((F.col("n_running") * 2 < F.col("n_dense")) if model else F.lit(False)).alias("not_prose"),
     )

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionloom.llm import bpe, fmindex, leaks, prose, textstats
+from motionloom.llm import bpe, fmindex, leaks, textstats
 from motionloom.runtime import cut
 
 DOCS = "doc_id long, text string"
@@ -181,28 +181,84 @@ PROSE = "The left hand moves in front of the body and stays there for about two
 LIST = "".join(f"- {a} {b}\n" for a, b in zip(["quick", "slow", "steep", "faint"] * 6, ["wave", "pinch", "stroke", "shrug", "beat", "clap"] * 4))
 
 
-def test_running_language():
-    share = lambda t: (lambda g, n: g / n if n else None)(*prose.language_share(t))
-    assert share(PROSE) == 1.0
-    assert share("Die linke Hand bewegt sich vor dem Bauch und bleibt dort etwa zwei Sekunden, weil die Person noch erzählt.") == 1.0
-    assert share("右手が机の上で動いて、約2.8秒そこに止まる。話し手は港について話しながら手を振る。") == 1.0
-    assert share("WE COUNTED 12 GESTURES IN 3 CLIPS AND 40 IN THE OTHER 7, WHICH IS MORE THAN IN THE FIRST 20 THAT WE HAD SEEN.") == 1.0
-    for junk in (LIST, "a1\t2\t3.5\nb2\t4\t5.5\n" * 20, "test test! " * 80, "dktp wqdjddqfq wug ;sus;udjof lgd ;ihigou fkrqyu iy; yfdsdid qp;lery ;j waahfqkaw rdjd la;ogrsyp gfaoq", "q9X/+aZ" * 200, "====----****" * 40):
-        assert share(junk) == 0.0
-    assert share("") is None and share(" \n\t ") is None
+SUBJECTS = "The left hand|Her right elbow|The speaker|A second listener|My thumb|Nobody in the room|The older of the two coders|This gesture".split("|")
+VERBS = "moves in front of|was held above|had returned to|points at|stays close to|did not touch|comes down on|will soon leave".split("|")
+PLACES = "the body|the table, which was cold|a chair that nobody used|the other hand|her knee, as before|the edge of the picture".split("|")
+ENDS = "and stays there for about two seconds.|because we had not expected it.|, as it did in the clip before.|when the others began to laugh.|but only for a moment.".split("|")
+NOUNS = "wave pinch stroke shrug beat clap point flick nod tap".split()
+KINDS = "doc_id long, coder string, kind string"
 
 
-def test_statistics(spark):
+def prose_text(rng):
+    return " ".join(" ".join(rng.choice(x) for x in (SUBJECTS, VERBS, PLACES, ENDS)) for _ in range(rng.randint(2, 8))) + "\n"
+
+
+def other_text(rng, kind):
+    if kind == "list":
+        mark = rng.choice(["- ", "* ", "", "#"])
+        return "".join(f"{mark}{rng.choice(['quick', 'slow', 'steep', 'faint'])} {rng.choice(NOUNS)}\n" for _ in range(rng.randint(5, 20)))
+    if kind == "table":
+        gap = rng.choice(["\t", " | ", ";"])
+        return "".join(gap.join([rng.choice(NOUNS), *[f"{rng.random() * 90:.2f}" for _ in range(4)]]) + "\n" for _ in range(rng.randint(3, 15)))
+    return rng.choice(
+        [
+            "".join(rng.choice("bcdfghjklmnpqrstvwxz;/#+= ") for _ in range(300)),
+            f"{rng.choice(NOUNS)} {rng.choice(NOUNS)}! " * 40,
+            "".join(rng.choice("abcdefXYZ0123456789+/") for _ in range(400)),
+            " ".join(rng.choice("the a of and on to is was with my her".split() + NOUNS) for _ in range(80)),
+        ]
+    )
+
+
+def corpus(seed, n=400):
+    rng = random.Random(seed)
+    kinds = [rng.choice(["prose", "prose", "list", "table", "junk"]) for _ in range(n)]
+    return [(i, prose_text(rng) if k == "prose" else other_text(rng, k)) for i, k in enumerate(kinds)], kinds
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    docs, kinds = corpus(1)
+    rng = random.Random(2)
+    told = [(i, "a", rng.choice([k, k.upper(), f" {k.title()} "])) for i, k in enumerate(kinds)]
+    told += [(i, c, "prose") for i in range(0, 40, 2) for c in ("b", "c") if kinds[i] == "prose"] + [(1, "b", "other"), (None, "a", "list"), (3, "a", None), (99_999, "a", "list")]
+    df = spark.createDataFrame([*docs, (None, "x"), (500, None)], DOCS).withColumns({"kind": F.lit(1), "prose": F.lit(2)})
+    return textstats.fit_running_language(df, spark.createDataFrame(told, KINDS))
+
+
+def test_labels_by_majority(spark):
+    rows = [(1, "a", "Prose"), (1, "b", "prose "), (1, "c", "list"), (2, "a", "PROSE"), (2, "b", "junk"), (3, "a", "table"), (4, "a", None), (5, "a", " "), (None, "a", "prose")]
+    assert {r.doc: r.prose for r in textstats.labelled(spark.createDataFrame(rows, KINDS)).collect()} == {1: True, 3: False}
+
+
+def test_running_language_of_texts_not_seen(spark, model):
+    docs, kinds = corpus(7)
+    rng = random.Random(8)
+    mixed = [(1000, prose_text(rng) + "\n" + other_text(rng, "table") * 6), (1001, "".join(prose_text(rng) for _ in range(5)) + "\n" + "- quick wave\n- slow nod\n"), (1002, None), (1003, ""), (1004, " \n\t ")]
+    out = {r.doc_id: r for r in textstats.text_statistics(spark.createDataFrame(docs + mixed, DOCS), model).collect()}
+    assert sum(out[i].not_prose == (k != "prose") for i, k in enumerate(kinds)) >= 0.96 * len(kinds)
+    assert out[1000].not_prose and not out[1001].not_prose and 0.8 < out[1001].running_share < 1
+    assert not any(out[k].not_prose for k in (1002, 1003, 1004)) and out[1002].running_share is None
+
+
+def test_no_model_without_both_kinds(spark):
+    docs = spark.createDataFrame([(1, PROSE), (2, LIST)], DOCS)
+    assert textstats.fit_running_language(docs, spark.createDataFrame([(1, "a", "prose")], KINDS)) is None
+    assert textstats.fit_running_language(docs, spark.createDataFrame([], KINDS)) is None
+    assert [(r.running_share, r.not_prose) for r in textstats.text_statistics(docs).collect()] == [(None, False)] * 2
+
+
+def test_statistics(spark, model):
     docs = [(1, PROSE), (2, LIST), (3, None), (4, ""), (5, "  \n "), (6, PROSE * 3000), (7, "x" * 700_000), (8, "".join(LIST.splitlines(True)[:8]) + PROSE * 2), (9, PROSE + LIST * 3), (None, LIST)]
     df = spark.createDataFrame(docs, DOCS).withColumns({"n_chars": F.lit(-1), "doc": F.lit(0), "part": F.lit(0)})
-    out = {r.doc_id: r for r in textstats.text_statistics(df).collect()}
+    out = {r.doc_id: r for r in textstats.text_statistics(df, model).collect()}
     assert {k for k, r in out.items() if r.not_prose} == {2, 6, 7, 9}  # endless repetition is no prose either
     assert out[3].n_words == out[4].n_words == out[5].n_words == 0 and out[3].mean_word_length is None
     one, many = out[1], out[6]
     assert many.n_words == 3000 * one.n_words and many.n_chars == 3000 * one.n_chars and many.n_lines == 3000 and many.ended_line_share == 1.0
     assert many.mean_word_length == pytest.approx(one.mean_word_length) and many.common_word_share == pytest.approx(one.common_word_share)
     assert out[7].n_words == 1 and out[7].n_lines == 1
-    assert textstats.text_statistics(spark.createDataFrame([], DOCS)).count() == 0
+    assert textstats.text_statistics(spark.createDataFrame([], DOCS), model).count() == 0
 
 
 def test_chunks_add_up():
@@ -219,12 +275,13 @@ def test_chunks_add_up():
             assert summed[k] == whole[k], (size, name)
 
 
-def test_chunks_of_long_texts_give_what_the_whole_gives(spark):
+def test_chunks_of_long_texts_give_what_the_whole_gives(spark, model):
     rng = random.Random(1)
     pool = [PROSE, LIST, "\n\n", "q9X/+aZ " * 30, "The same line once more.\n" * 5, PROSE.strip() + " ", "word " * 40]
     texts = {1: "".join(rng.choice(pool) for _ in range(2500)), 2: PROSE.replace("\n", " ") * 2600, 3: "one line that comes again\n" * 16_000, 4: "x" * 400_000, 5: ("ab " * 11_000 + "\n") * 12, 6: "e\u0301t" * 90_000, 7: PROSE}
-    whole = {k: textstats.chunk_counts(unicodedata.normalize("NFC", t)) for k, t in texts.items()}
-    out = {r.doc_id: r for r in textstats.text_statistics(spark.createDataFrame(list(texts.items()), DOCS)).collect()}
+    composed = {k: unicodedata.normalize("NFC", t) for k, t in texts.items()}
+    whole = {k: [*textstats.chunk_counts(t), *textstats.running_chars([t], [""], model)] for k, t in composed.items()}
+    out = {r.doc_id: r for r in textstats.text_statistics(spark.createDataFrame(list(texts.items()), DOCS), model).collect()}
     for k, t in texts.items():
         c = dict(zip(textstats._COUNTS, whole[k]))
         got = (out[k].n_chars, out[k].n_words, out[k].n_lines, out[k].running_share, out[k].ended_line_share, out[k].bullet_line_share, out[k].common_word_share, out[k].symbol_ratio, out[k].mean_word_length)
