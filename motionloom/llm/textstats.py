@@ -117,14 +117,14 @@ def labelled(kinds: DataFrame, doc_id: str = "doc_id", kind: str = "kind") -> Da
 
 
 def fit_running_language(
-    df: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", text: str = "text", most_docs: int = 5_000, most_blocks: int = 20_000, rounds: int = 60
+    df: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", text: str = "text", most_docs: int = 5_000, most_blocks: int = 20_000, rounds: int = 40
 ) -> TreeModel | None:
     """A model that tells blocks of running language from others, fitted on hand-labelled documents.
 
     The fit, and nothing else, uses a bounded sample: at most ``most_docs`` labelled documents and ``most_blocks``
     of their blocks, in hash order. A block is first taken to be what its document is; as documents mix and coders
-    err, the model then relabels the blocks it clearly tells otherwise, and is fitted once more. None where the
-    sample hasn't both kinds.
+    err, models fitted on two thirds of the documents then relabel the blocks of the last third that they clearly
+    tell otherwise, and the model is fitted on those labels. None where the sample hasn't both kinds.
     """
     some = labelled(kinds, doc_id).orderBy(F.xxhash64("doc"), "doc").limit(most_docs)
     docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null")
@@ -140,12 +140,17 @@ def fit_running_language(
             yield pd.DataFrame(rows, columns=["doc", "n", "prose", "figures"])
 
     told = docs.join(F.broadcast(some), "doc").mapInPandas(tell, "doc long, n long, prose boolean, figures array<double>")
+    told = told.withColumn("fold", F.pmod(F.xxhash64("doc"), F.lit(3)))
     rows = told.orderBy(F.xxhash64("doc", "n"), "doc", "n", "figures").limit(most_blocks).toPandas()
     if rows["prose"].nunique() < 2:
         return None
     x, given = np.stack(rows["figures"].map(np.asarray).to_list()), rows["prose"].to_numpy().astype(int)
-    p = train_trees(x, given, PROSE, rounds=rounds).predict(x)[:, 1]
-    clear = np.where((given == 0) & (p > 0.6), 1, np.where((given == 1) & (p < 0.25), 0, given))
+    p, fold = given.astype(float), rows["fold"].to_numpy()
+    for f in range(3):
+        rest = fold != f
+        if (fold == f).any() and len(set(given[rest])) == 2:
+            p[fold == f] = train_trees(x[rest], given[rest], PROSE, rounds=rounds).predict(x[fold == f])[:, 1]
+    clear = np.where(p > 0.8, 1, np.where(p < 0.2, 0, given))
     return train_trees(x, clear if len(set(clear)) == 2 else given, PROSE, rounds=rounds)
 
 
