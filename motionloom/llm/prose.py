@@ -5,6 +5,7 @@ Everything here is plain Python over one string; the Spark side is in ``textstat
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -107,8 +108,15 @@ FIGURES = (
 )
 
 
-def figures(block: list[str]) -> list[float]:
-    """The ``FIGURES`` of a block of lines; tags, quote marks and speakers' names are left out, as they stand in prose too."""
+@functools.lru_cache(1 << 16)
+def _hard(word: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a word has a run of consonants without being common, is in Latin letters, is so without a vowel, is common."""
+    latin = word[0] < "ɐ"
+    return bool(_LONGRUN.search(word)) and word not in COMMON, latin, latin and not _VOWEL.search(word), word in COMMON
+
+
+def figures(block: list[str], bulleted: bool, tabular: bool) -> list[float]:
+    """The ``FIGURES`` of a block of lines, all of them ``bulleted`` and ``tabular`` or none; tags, quote marks and speakers' names are left out, as they stand in prose too."""
     text = "\n".join(block)
     bare = _SPEAKER.sub("", _QUOTE.sub("", _TAG.sub(" ", _MARK.sub(" ", text))))
     tokens = bare.split()
@@ -116,14 +124,14 @@ def figures(block: list[str]) -> list[float]:
     size, n_lines = max(1, len(dense)), len(block)
     words = [w.lower().replace("’", "'") for w in _WORD.findall(bare)]
     n, m = len(words), max(1, len(words))
-    letters = [c for c in dense if c.isalpha()]
+    letters = list(filter(str.isalpha, dense))
     marks = 0 if dense.isascii() else sum(unicodedata.category(c)[0] == "M" for c in dense if not c.isascii())
-    common = [w in COMMON for w in words]
+    traits = [_hard(w) for w in words]
+    common = [t[3] for t in traits]
     pairs = list(zip(words, words[1:]))
     articles = [b in _NO_FOLLOW and (a, b) not in _ALLOWED for a, b in pairs if a in _ARTICLES]
     length = [len(w) for w in words]
     mean = sum(length) / m
-    latin = [w for w in words if w[0] < "ɐ"]
     return [
         (len(letters) + marks) / size,
         sum(map(str.isdigit, dense)) / size,
@@ -131,7 +139,7 @@ def figures(block: list[str]) -> list[float]:
         len(_KANA.findall(bare)) / size,
         math.log1p(n),
         math.log1p(len(dense)),
-        len(latin) / m,
+        sum(t[1] for t in traits) / m,
         sum(common) / m,
         len(set(words)) / min(m, 60),
         len(set(pairs)) / max(1, min(n - 1, 80)),
@@ -140,16 +148,16 @@ def figures(block: list[str]) -> list[float]:
         math.sqrt(sum((x - mean) ** 2 for x in length) / m),
         sum(x > 20 for x in length) / m,
         sum(len(x) > 25 for x in tokens) / max(1, len(tokens)),
-        sum(bool(_LONGRUN.search(w)) and w not in COMMON for w in words) / m,
-        sum(not _VOWEL.search(w) for w in latin) / m,
+        sum(t[0] for t in traits) / m,
+        sum(t[2] for t in traits) / m,
         len(_INNER.findall(bare)) / m,
         len(_SEPARATOR.findall(bare)) / m,
         len(_STOP.findall(bare)) / m,
         len(_COMMA.findall(bare)) / m,
         n / n_lines,
-        sum(bool(_BULLET.match(x)) for x in block) / n_lines,
+        float(bulleted),
         sum(bool(_END.search(x)) for x in block) / n_lines,
-        sum(structured(x) for x in block) / n_lines,
+        float(tabular),
         math.log1p(n_lines),
         sum(articles) / max(1, len(articles)),
         sum(w.lower() in COMMON and w != "I" for w in _CASED.findall(bare)) / m,
@@ -197,11 +205,11 @@ def blocks(text: str, before: str = "") -> list[tuple[int, list[float] | None]]:
 def _blocks(text: str, past: list[str]) -> list[tuple[int, list[float] | None]]:
     out: list[tuple[int, list[float] | None]] = []
     block: list[str] = []
-    kind = None
+    kind = (False, False)
 
     def close() -> None:
         if block:
-            out.append((sum(len("".join(x.split())) for x in block), figures(block)))
+            out.append((sum(len("".join(x.split())) for x in block), figures(block, *kind)))
             block.clear()
 
     # A chunk that begins at a line end has an empty line last among those before it.

@@ -41,14 +41,14 @@ def chunk_counts(text: str, before: str = "", after: str = "") -> list[int]:
     ended = [bool(prose._END.search(x)) for x in lines]
     if prose._NEWLINE.split(text)[-1].strip() and prose._NEWLINE.split(after)[0].strip():
         ended.pop()  # its end comes in the next chunk
-    symbols = sum(not c.isalnum() and not c.isspace() for c in text)
+    dense = "".join(text.split())
     return [
-        len("".join(text.split())),
+        len(dense),
         n_words,
         word_chars,
         sum(w.lower().replace("’", "'") in prose.COMMON for w in words),
-        symbols,
-        sum(c.isdigit() for c in text),
+        len(dense) - sum(map(str.isalnum, dense)),
+        sum(map(str.isdigit, dense)),
         n_lines,
         sum(ended),
         sum(bool(prose._BULLET.match(x)) for x in lines),
