@@ -11,7 +11,7 @@ from motionloom.operators import spatial as P
 from motionloom.operators.head import head_rotation
 from motionloom.operators.kinematics import kinematic_features
 from motionloom.operators.signals import smooth_over_time
-from motionloom.plans.adapters import FRAMES_EM_SQL, FRAMES_TR_SQL, frames_em, frames_tr
+from motionloom.plans.adapters import FINGERS, FRAMES_EM_SQL, FRAMES_TR_SQL, frames_em, frames_tr
 from motionloom.plans.base import Registry
 from motionloom.runtime import cut
 
@@ -46,10 +46,24 @@ def p8_key_joints(spark, d):
 _FV = {s: [[f"({_jt(j, a)} - {_jt(w, a)})" for a in range(3)] for j in tips] for s, (tips, w) in X.FINGERS.items()}
 
 
-@R.add("op_p9_fingers", f"{TR} SELECT {KEY}, round({_FV['left'][0][0]}, 6) AS left_pinky_x, round({_FV['right'][2][2]}, 6) AS right_thumb_z FROM frames_tr")
+def _weighted(values):
+    """SQL for the sum of values times 1, 2, 3, ...: one number that every value has a part in."""
+    return " + ".join(f"{k} * {v}" for k, v in enumerate(values, 1))
+
+
+def _weigh(v):
+    """The same over an array."""
+    return F.aggregate(F.transform(v, lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x)
+
+
+_F9 = {s: [c for p in v for c in p] for s, v in _FV.items()}
+
+
+@R.add("op_p9_fingers", f"{TR} SELECT {KEY}, round({_FV['left'][0][0]}, 6) AS left_pinky_x, round({_FV['right'][2][2]}, 6) AS right_thumb_z, round({_weighted(_F9['left'])}, 5) AS left_all, round({_weighted(_F9['right'])}, 5) AS right_all FROM frames_tr")
 def p9_fingers(spark, d):
     f = frames_tr(spark, d)
-    return f.select(*BY, "frame_idx", _r(F.get(X.finger_vector(F.col("lm"), "left"), F.lit(0)), "left_pinky_x"), _r(F.get(X.finger_vector(F.col("lm"), "right"), F.lit(8)), "right_thumb_z"))
+    left, right = (X.finger_vector(F.col("lm"), s) for s in ("left", "right"))
+    return f.select(*BY, "frame_idx", _r(F.get(left, F.lit(0)), "left_pinky_x"), _r(F.get(right, F.lit(8)), "right_thumb_z"), _r(_weigh(left), "left_all", 5), _r(_weigh(right), "right_all", 5))
 
 
 def _shape_sql(side):
@@ -108,10 +122,15 @@ def f9_pad(spark, d):
     return f.where(F.col("frame_idx") < PAD).unionByName(pad).select(*BY, "frame_idx", _r(F.col("x"), "x"))
 
 
-@R.add("m13_mirror", f"{TR} SELECT {KEY}, round(-{_jt(12, 0)}, 6) AS left_shoulder_x, round({_jt(16, 1)}, 6) AS left_wrist_y, round({_jt(21, 2)}, 6) AS right_thumb_z FROM frames_tr")
+_SWAP = {0: 0} | {a: b for x, y in ((1, 4), (2, 5), (3, 6), *((k, k + 1) for k in range(7, 22, 2))) for a, b in ((x, y), (y, x))}
+_MIRROR = [f"({'-' if a == 0 else ''}{_jt(_SWAP[j], a)})" for j in range(23) for a in range(3)]
+
+
+@R.add("m13_mirror", f"{TR} SELECT {KEY}, round(-{_jt(12, 0)}, 6) AS left_shoulder_x, round({_jt(16, 1)}, 6) AS left_wrist_y, round({_jt(21, 2)}, 6) AS right_thumb_z, round({_weighted(_MIRROR)}, 5) AS every FROM frames_tr")
 def m13_mirror(spark, d):
     f = frames_tr(spark, d).withColumn("m", X.mirrored(F.col("lm")))
-    return f.select(*BY, "frame_idx", *[_r(X.point(F.col("m"), j, a), n) for n, j, a in (("left_shoulder_x", 11, 0), ("left_wrist_y", 15, 1), ("right_thumb_z", 22, 2))])
+    some = [_r(X.point(F.col("m"), j, a), n) for n, j, a in (("left_shoulder_x", 11, 0), ("left_wrist_y", 15, 1), ("right_thumb_z", 22, 2))]
+    return f.select(*BY, "frame_idx", *some, _r(_weigh(F.col("m")), "every", 5))
 
 
 @R.add("w8_smooth_axes", f"{TR} SELECT {KEY}, " + ", ".join(f"round({' + '.join(f'lm[{k + 1}] * {c}::DOUBLE' for k, c in enumerate(row))}, 6) AS {n}" for n, row in zip("xyz", X.AXIS_MIX)) + " FROM frames_tr")
@@ -320,11 +339,15 @@ def a18_kinematic_features(spark, d):
     return kinematic_features(cut(frames_em(spark, d)), ["track"])
 
 
-@R.add("op_p11_centred_fingers", f"{EM} SELECT track, frame_idx, round(left_pinky_x - avg(left_pinky_x) OVER (PARTITION BY track), 6) AS left_pinky_x FROM frames_em")
+_F11 = [f"{j}_{a}" for j in FINGERS for a in "xyz"]
+
+
+@R.add("op_p11_centred_fingers", f"{EM} SELECT track, frame_idx, round(left_pinky_x - avg(left_pinky_x) OVER (PARTITION BY track), 6) AS left_pinky_x, round({_weighted([f'({c} - avg({c}) OVER (PARTITION BY track))' for c in _F11])}, 5) AS every FROM frames_em")
 def p11_centred_fingers(spark, d):
-    f = frames_em(spark, d).select("track", "frame_idx", "left_pinky_x")
-    m = f.groupBy("track").agg(F.avg("left_pinky_x").alias("m"))
-    return f.join(m, "track").select("track", "frame_idx", _r(F.col("left_pinky_x") - F.col("m"), "left_pinky_x"))
+    f = frames_em(spark, d).select("track", "frame_idx", *_F11)
+    m = f.groupBy("track").agg(*[F.avg(c).alias(f"m_{c}") for c in _F11])
+    centred = {c: F.col(c) - F.col(f"m_{c}") for c in _F11}
+    return f.join(m, "track").select("track", "frame_idx", _r(centred["left_pinky_x"], "left_pinky_x"), _r(_weigh(F.array(*centred.values())), "every", 5))
 
 
 @R.add("op_p12_nan_to_zero", f"{EM} SELECT track, frame_idx, CASE WHEN frame_idx % 7 = 0 THEN 0 ELSE nose_x END AS x FROM frames_em")
