@@ -99,13 +99,18 @@ _W5 = "OVER (PARTITION BY label, video ORDER BY frame_idx ROWS BETWEEN 4 PRECEDI
 _LAG = "OVER (PARTITION BY label, video ORDER BY frame_idx)"
 
 
+_POSE = [_jt(j, a) for j in X.KEY_JOINTS for a in range(3)]
+_CHANGE = [f"({p} - lag({p}) {_LAG})" for p in _POSE]
+_FEATURES = [*_POSE, *_CHANGE, *[_norm(_CHANGE[k : k + 3]) for k in (12, 15)], *[f"(max({p}) {_W5} - min({p}) {_W5})" for p in _POSE[12:]], *_F9["left"], *_F9["right"], *[f"({e})" for e in _shape_sql("left") + _shape_sql("right")]]
+
+
 @R.add("w3_enhanced_features", f"""{TR}, e AS (SELECT {KEY}, count(*) {_W5} AS n, {_jt(11, 0)} AS pose0, {_jt(11, 0)} - lag({_jt(11, 0)}) {_LAG} AS change0,
-    {_norm([f'{_jt(15, a)} - lag({_jt(15, a)}) {_LAG}' for a in range(3)])} AS speed_left, max({_jt(16, 2)}) {_W5} - min({_jt(16, 2)}) {_W5} AS range5, {_FV['left'][0][0]} AS finger0, {_shape_sql('right')[2]} AS shape5 FROM frames_tr)
-  SELECT {KEY}, 80 AS width, round(pose0, 6) AS pose0, round(change0, 6) AS change0, round(speed_left, 6) AS speed_left, round(range5, 6) AS range5, round(finger0, 6) AS finger0, round(shape5, 6) AS shape5, 0.0::DOUBLE AS pad FROM e WHERE n = 5""")
+    {_norm([f'{_jt(15, a)} - lag({_jt(15, a)}) {_LAG}' for a in range(3)])} AS speed_left, max({_jt(16, 2)}) {_W5} - min({_jt(16, 2)}) {_W5} AS range5, {_FV['left'][0][0]} AS finger0, {_shape_sql('right')[2]} AS shape5, {_weighted(_FEATURES)} AS every FROM frames_tr)
+  SELECT {KEY}, 80 AS width, round(pose0, 6) AS pose0, round(change0, 6) AS change0, round(speed_left, 6) AS speed_left, round(range5, 6) AS range5, round(finger0, 6) AS finger0, round(shape5, 6) AS shape5, 0.0::DOUBLE AS pad, round(every, 4) AS every FROM e WHERE n = 5""")
 def w3_enhanced_features(spark, d):
     e = X.enhanced_features(frames_tr(spark, d), BY, "frame_idx")
     at = {"pose0": 0, "change0": 18, "speed_left": 36, "range5": 43, "finger0": 44, "shape5": 67, "pad": 79}
-    return e.select(*BY, "frame_idx", F.size("features").alias("width"), *[_r(F.get("features", F.lit(k)), n) for n, k in at.items()])
+    return e.select(*BY, "frame_idx", F.size("features").alias("width"), *[_r(F.get("features", F.lit(k)), n) for n, k in at.items()], _r(_weigh(F.col("features")), "every", 4))
 
 
 @R.add("f6_drop_repeats", f"""{TR}, r AS (SELECT {KEY}, list_transform(lm, lambda x: round(x, 2)) AS v FROM frames_tr), q AS (SELECT *, lag(v) {_LAG} AS p FROM r) SELECT {KEY} FROM q WHERE p IS NULL OR v <> p""")
