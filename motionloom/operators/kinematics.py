@@ -44,8 +44,6 @@ def kinematic_features(frames: DataFrame, by: Sequence[str], *, fps: float = 25.
         else:
             f = f.withColumnRenamed("peak_mean", "elbow_mean_submovement_amplitude").drop("peak_max")
         out = out.join(f.drop("first_peak"), by)
-    held = None
-    for s in ("left", "right"):
-        h = spatial.holds(frames, by, s, first_peak=peaks, fps=fps, pause=pause, index=index).withColumn("active_hand", F.lit(s[0].upper()))
-        held = h if held is None else held.unionByName(h)
-    return out.join(held, [*by, "active_hand"])
+    # Holds of the more active arm only, under the names of one side.
+    arm = chosen.select(*by, index, *[F.when(side == "L", F.col(f"left_{limb}_{a}")).otherwise(F.col(f"right_{limb}_{a}")).alias(f"left_{limb}_{a}") for limb in ("hand", "elbow") for a in "xyz"])
+    return out.join(spatial.holds(arm, by, "left", first_peak=peaks, fps=fps, pause=pause, index=index), by)
