@@ -93,6 +93,14 @@ def test_clusters_of_nothing(spark):
     assert sorted((r.rec_id, r.cluster, r.size) for r in similarity_clusters(alike).collect()) == [(i, 0, 5) for i in range(5)]
 
 
+def test_two_alike_are_a_cluster(spark):
+    """Two of 300 records are 0.5 percent and more; of 601 they aren't."""
+    for n, want in ((300, {(7, 7, 2), (9, 7, 2)}), (601, set())):
+        rows = [(i, "g", 0.1 * 50.0 ** (i % 25), 1.0 * 50.0 ** (i // 25), 1.0, 3) for i in range(n)]
+        rows[9] = (9, *rows[7][1:])
+        assert {(r.rec_id, r.cluster, r.size) for r in similarity_clusters(spark.createDataFrame(rows, REC)).collect()} == want
+
+
 def test_banding_loses_no_similar_pair(spark):
     rng = np.random.default_rng(3)
     q = np.unique(rng.integers(-3, 6, (300, 4)), axis=0)
@@ -104,6 +112,22 @@ def test_banding_loses_no_similar_pair(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_banding_nominates_every_similar_pair(spark):
+    """Every place in the grid with everything near it; random orders of the cells lose a few of these pairs."""
+    steps = np.stack(np.meshgrid(*[np.arange(-2, 3)] * 4, indexing="ij"), axis=-1).reshape(-1, 4)
+    near = steps[(STEPS - np.abs(steps)).prod(axis=1) >= 2 * STEPS**4 / 4]
+    place = np.stack(np.meshgrid(*[np.arange(STEPS)] * 4, indexing="ij"), axis=-1).reshape(-1, 4) - 40 * np.arange(STEPS**4)[:, None]
+    shared = (STEPS - np.minimum(STEPS, np.abs(near[:, None] - near[None]))).prod(axis=2)
+    n = len(near)
+    want = {(k * n + i, k * n + j) for i, j in zip(*(x.tolist() for x in np.nonzero(shared / (2 * STEPS**4 - shared) >= 1 / 3))) if i < j for k in range(len(place))}
+    q = (place[:, None] + near[None]).reshape(-1, 4)
+    got = similar_nodes(spark.createDataFrame([(i, *r) for i, r in enumerate(q.tolist())], "node long, q0 int, q1 int, q2 int, q3 int"), 1 / 3)
+    rows = [(r.a, r.b) for r in got.collect()]
+    assert n == 41 and len(rows) == len(set(rows)) and set(rows) == want
+    with pytest.raises(ValueError):
+        similar_nodes(got, 0.2)
+
+
 def brute_components(edges):
     parent = {}
 
