@@ -1,9 +1,10 @@
 """Evaluation passages in training texts.
 
-Method: the words of each shard of the corpus are indexed once (FM-index); the rare short word
+Method: the words of each shard of the corpus are indexed once (FM-index); the short word
 phrases of all test items are found by backward search and located by sampled positions.
-A document with several rare phrases of an item is aligned with that item word by word,
-which forgives changed, missing and added words. Spans are merged twice: over the words of
+A document with several rare phrases of an item, or with as many of its phrases, rare or not,
+on close diagonals as one of two passages must leave whole, is aligned with that item word by
+word, which forgives changed, missing and added words. Spans are merged twice: over the words of
 the item, to tell how much of it leaked, and over the document, to tell what to remove.
 """
 
@@ -15,6 +16,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,7 @@ PART_OVERLAP = 1_000
 ITEM_BLOCK = 2_000
 BLOCK_WORDS = 400_000
 PASS_BLOCKS = 8
+HITS = 1_000_000
 
 _BROKEN = re.compile(r"[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{1,3}")
 _BLOCK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|td|tr|th|table|h\d|hr|pre|blockquote|section)\b[^<>]{0,300}>", re.I)
@@ -80,12 +83,12 @@ def _hashes(words: list[str]) -> list[int]:
 
 
 def prepared_items(bench: DataFrame, item_id: str = "item_id", item_text: str = "text", k: int = 3, rare: int = 3, shared: int = 4) -> DataFrame:
-    """key, item, words, own_from, own_to, phrases of every test item, counted over all items.
+    """key, item, words, own_from, own_to, phrases, others of every test item, counted over all items.
 
     own_from and own_to: its first and last word that isn't part of a standing instruction or closing
     question, that is of a beginning or end of four words or more that ``shared`` items have. phrases:
     where those phrases of ``k`` words begin that at most ``rare`` items have; all its phrases where it
-    has none such. Rows without id or text are left out; equal rows are one item.
+    has none such. others: where all its other phrases begin. Rows without id or text are left out; equal rows are one item.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,6 +119,7 @@ def prepared_items(bench: DataFrame, item_id: str = "item_id", item_text: str =
     lead, tail = F.coalesce("lead", F.lit(0)), F.coalesce("tail", F.lit(0))
     # Where whole items are copies of one another, nothing is left; then all of it counts.
     some = lead + tail < size
+    every = F.coalesce(at, F.array().cast("array<int>"))
     return (
         items.join(longest, "key", "left")
         .join(own, "key", "left")
@@ -125,27 +129,76 @@ def prepared_items(bench: DataFrame, item_id: str = "item_id", item_text: str =
             "words",
             F.when(some, lead).otherwise(0).alias("own_from"),
             F.when(some, size - tail - 1).otherwise(size - 1).alias("own_to"),
-            F.coalesce(F.array_sort("phrases"), at, F.array().cast("array<int>")).alias("phrases"),
+            F.coalesce(F.array_sort("phrases"), every).alias("phrases"),
+            F.when(F.col("phrases").isNull(), F.array().cast("array<int>")).otherwise(F.array_except(every, "phrases")).alias("others"),
         )
     )
 
 
+def _whole(p: int, k: int = 3, every: int = 6) -> int:
+    """How many phrases of ``k`` words a passage of ``p`` words leaves whole, wherever a sixth of them are changed, missing or have one added.
+
+    More than a sixth, and ``leaks`` no longer counts all of them as held.
+    """
+    return p - k + 1 - k * (p // every)
+
+
+def _least(p: int, every: int = 6) -> int:
+    """The same for passages of ``p`` words or more; none of them may be whole."""
+    return max(0, min(_whole(q) for q in range(p, p + every)))
+
+
+def _held(size: int) -> int:
+    """Words that the passages of a leaked item hold at least, see ``leaks``."""
+    return max(5, -(-3 * size // 10))
+
+
+@lru_cache(maxsize=100_000)
+def whole_phrases(size: int) -> tuple[int, int]:
+    """How many phrases one or two passages leave whole that hold three tenths of an item of ``size`` words, five or more each.
+
+    The first figure is that of the passage which has more of them, the second that of both.
+    """
+    held = _held(size)
+    ways = [(_least(held), 0)] + [(_least(p), _least(held - p)) for p in range(5, held - 4)]
+    return max(1, min(max(w) for w in ways)), max(1, min(sum(w) for w in ways))
+
+
+@lru_cache(maxsize=100_000)
+def other_passage(size: int, most: int) -> int:
+    """How many phrases the other passage leaves whole where none has more than ``most``."""
+    held = _held(size)
+    longest = max((p for p in range(held) if _whole(p) <= most), default=0)
+    return max(1, _least(max(5, held - longest)))
+
+
 class Items:
-    """A block of prepared items as word ids. 0 stands for every word that no item has, and parts documents."""
+    """A block of prepared items as word ids. 0 stands for every word that no item has, and parts documents.
+
+    Phrase p stands at the places ``at`` of the items ``item``, both from ``begin[p]`` to before ``begin[p + 1]``.
+    """
 
     def __init__(self, rows: pd.DataFrame, vocab: dict[str, int], k: int = 3) -> None:
         self.ids = rows["item"].tolist()
         self.words = [np.array([vocab[w] for w in ws], dtype=np.int64) for ws in rows["words"]]
         self.own = list(zip(rows["own_from"].tolist(), rows["own_to"].tolist()))
-        owners: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        for n, (ws, places) in enumerate(zip(self.words, rows["phrases"])):
+        owners: dict[int, dict[tuple[int, ...], list[tuple[int, int, bool]]]] = defaultdict(lambda: defaultdict(list))
+        for n, (ws, some, others) in enumerate(zip(self.words, rows["phrases"], rows["others"])):
             size = min(k, len(ws))
-            for p in {tuple(ws[at : at + size].tolist()) for at in places}:
-                owners[p].append(n)
-        self.phrases: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for size in sorted({len(p) for p in owners}):
-            some = [p for p in owners if len(p) == size]
-            self.phrases[size] = (np.array(some, dtype=np.int64), [owners[p] for p in some])
+            for places, rare in ((some, True), (others, False)):
+                for at in places:
+                    owners[size][tuple(ws[at : at + size].tolist())].append((n, at, rare))
+        self.phrases = [np.array(list(owners[size]), dtype=np.int64) for size in sorted(owners)]
+        entries = [e for size in sorted(owners) for e in owners[size].values()]
+        self.begin = np.cumsum([0, *map(len, entries)])
+        flat = np.array([x for e in entries for x in e], dtype=np.int64).reshape(-1, 3)
+        self.item, self.at, self.rare = flat[:, 0], flat[:, 1], flat[:, 2] > 0
+        size = np.array([len(ws) for ws in self.words], dtype=np.int64)
+        # A third of the item with every ninth word changed still leaves this many phrases whole.
+        self.least_rare = np.maximum(1, size // 16)
+        self.least = np.array([whole_phrases(n) for n in size.tolist()], dtype=np.int64).reshape(-1, 2)
+        # Words missing and added within a passage, a sixth at most, move it by as many diagonals.
+        self.drift = size // 6
 
 
 def align(item: np.ndarray, doc: np.ndarray, hits: np.ndarray | None = None, gap: int = 9, match: int = 10, miss: int = 10) -> list[tuple[int, int, int, int, int]]:
@@ -155,22 +208,29 @@ def align(item: np.ndarray, doc: np.ndarray, hits: np.ndarray | None = None, gap
     (document words), it ends when every hit lies in an alignment.
     """
     out = []
-    # Scores are kept with gap * column added, so that a gap in the item's words is a running maximum.
     zero = np.arange(len(doc) + 1, dtype=np.int32) * gap
     equal = np.where(item[:, None] == doc[None, :], match, -miss).astype(np.int32)
     shut = np.int32(-(1 << 24))
-    score = np.empty((len(item) + 1, len(doc) + 1), dtype=np.int32)
+    score = np.zeros((len(item) + 1, len(doc) + 1), dtype=np.int32)
     best, step = np.empty_like(zero), np.empty_like(zero[1:])
-    while True:
-        score[0] = zero
+
+    def fill(lo: int, hi: int) -> None:
+        """The scores of the columns after ``lo`` up to ``hi``."""
+        # They are kept with gap * column added, so that a gap in the item's words is a running maximum.
+        part, left, z, b, s = score[:, lo : hi + 1], score[:, lo].copy(), zero[: hi - lo + 1], best[: hi - lo + 1], step[: hi - lo]
+        part[0] = z
         for i in range(1, len(item) + 1):
-            np.subtract(score[i - 1], gap, out=best)
-            np.maximum(best, zero, out=best)
-            np.add(score[i - 1, :-1], equal[i - 1], out=step)
-            step += gap
-            np.maximum(best[1:], step, out=best[1:])
-            np.maximum.accumulate(best, out=score[i])
-        score -= zero
+            np.subtract(part[i - 1], gap, out=b)
+            np.maximum(b, z, out=b)
+            np.add(part[i - 1, :-1], equal[i - 1, lo:hi], out=s)
+            s += gap
+            np.maximum(b[1:], s, out=b[1:])
+            b[0] = left[i]
+            np.maximum.accumulate(b, out=part[i])
+        part -= z
+
+    fill(0, len(doc))
+    while True:
         i, j = divmod(int(np.argmax(score)), len(doc) + 1)
         if score[i, j] < 4 * match:
             return out
@@ -193,6 +253,8 @@ def align(item: np.ndarray, doc: np.ndarray, hits: np.ndarray | None = None, gap
             if len(hits) == 0:
                 return out
         equal[:, first_j : last_j + 1] = shut
+        # No path with a score above zero is wider than this, so scores further on stay.
+        fill(first_j, min(len(doc), last_j + 2 + len(item) + match * len(item) // gap))
 
 
 def search_shard(docs: list[tuple[int, int, np.ndarray]], blocks: Iterable[Items], alphabet: int) -> list[tuple[int, ...]]:
@@ -217,27 +279,73 @@ def search_shard(docs: list[tuple[int, int, np.ndarray]], blocks: Iterable[Items
     index = FMIndex(text, alphabet)
     out = []
     for items in blocks:
-        hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for phrases, owned in items.phrases.values():
+        hits = []
+        known = 0
+        for phrases in items.phrases:
             lo, hi = index.search(phrases)
             count = hi - lo
             which = np.repeat(np.arange(len(phrases)), count)
             slots = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + lo[which]
             at = index.locate(slots)
-            for p, d, w in zip(which.tolist(), owner[at].tolist(), place[at].tolist()):
-                for n in owned[p]:
-                    hits[(d, n)].append(w)
-        for (d, n), where in hits.items():
-            out += _aligned(docs[d], items, n, sorted(where))
+            hits.append(np.stack([owner[at], place[at], which + known]))
+            known += len(phrases)
+        if not hits:
+            continue
+        doc, word, phrase = np.concatenate(hits, axis=1)
+        by = np.argsort(doc, kind="stable")
+        doc, word, phrase = doc[by], word[by], phrase[by]
+        # Whole documents, as many at once as have about HITS places of items.
+        lot = np.cumsum(items.begin[phrase + 1] - items.begin[phrase]) // HITS
+        new = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+        lot = lot[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+        for x in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(lot)) + 1):
+            for d, n, where in nominated(items, doc[x], word[x], phrase[x]):
+                out += _aligned(docs[d], items, n, where)
     return out
 
 
+def nominated(items: Items, doc: np.ndarray, word: np.ndarray, phrase: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+    """Documents, items that may have leaked into them, and where phrases of the item begin there.
+
+    Given are the places of phrases: document, word and phrase. A pair has enough rare phrases, or else
+    enough phrases of any kind in groups that can be passages: on diagonals (document word less item word)
+    as close as ``drift``, and as many as one of two passages must have.
+    """
+    if len(doc) == 0:
+        return
+    times = items.begin[phrase + 1] - items.begin[phrase]
+    hit = np.repeat(np.arange(len(doc)), times)
+    entry = np.arange(len(hit)) + np.repeat(items.begin[phrase] - np.cumsum(times) + times, times)
+    pair, diagonal = doc[hit] * len(items.words) + items.item[entry], word[hit] - items.at[entry]
+    by = np.lexsort((diagonal, pair))
+    pair, diagonal, hit, entry = pair[by], diagonal[by], hit[by], entry[by]
+    new = np.append(True, pair[1:] != pair[:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    item = items.item[entry]
+    line = group * int(diagonal.max() - diagonal.min() + items.drift.max() + 1) + diagonal
+    end = np.searchsorted(line, line + items.drift[item], side="right")
+    close = end - np.arange(len(line))
+    rare = items.rare[entry]
+    wide = int(word.max()) + 1
+    rares = np.bincount(np.unique(group[rare] * wide + word[hit[rare]]) // wide, minlength=len(first))
+    n = item[first]
+    last = np.append(first[1:], len(line))
+    most = np.maximum.reduceat(close, first)
+    enough = (rares >= items.least_rare[n]) | ((most >= items.least[n, 0]) & (last - first >= items.least[n, 1]))
+    for g in np.flatnonzero(enough).tolist():
+        a, b, i = int(first[g]), int(last[g]), int(n[g])
+        begins = np.flatnonzero(close[a:b] >= other_passage(len(items.words[i]), int(most[g])))
+        edge = np.zeros(b - a + 1, dtype=np.int64)
+        np.add.at(edge, begins, 1)
+        np.add.at(edge, end[a + begins] - a, -1)
+        passage = np.cumsum(edge[:-1]) > 0
+        if rares[g] >= items.least_rare[i] or passage.sum() >= items.least[i, 1]:
+            yield int(doc[hit[a]]), i, np.unique(word[hit[a:b][passage | rare[a:b]]]).tolist()
+
+
 def _aligned(of: tuple[int, int, np.ndarray], items: Items, n: int, where: list[int]) -> list[tuple[int, ...]]:
     """The spans of item ``n`` in a document part around its hits, ``where``."""
     item = items.words[n]
-    # A third of the item with every ninth word changed still leaves this many phrases whole.
-    if len(set(where)) < max(1, len(item) // 16):
-        return []
     doc, base, ws = of
     places = np.array(where)
     reach = 2 * len(item) + 20

@@ -144,6 +144,39 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert got[0] == got[1] == got[2] and len(got[0]) > 24
 
 
+def test_passages_that_many_items_share(spark):
+    """Six items have 50 of their 90 words in common, and six documents hold only words that all of them have."""
+    common = item(50, 50)
+    items = {k: item(k, 15) + common + item(20 + k, 25) for k in range(6)} | {6: item(6)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+
+    def changed(words):
+        return ["other" if k % 6 == 5 else w for k, w in enumerate(words)]
+
+    far = ["quite", "other", "words"] * 300
+    docs = {
+        1: common[5:45], 2: changed(common[4:40]), 3: far + changed(common[:18]) + far + changed(common[30:48]) + far, 4: common[:12] + far, 5: common[::-1],
+        6: [w for k, w in enumerate(common[:36]) if k % 6 != 3], 7: far[:300] + [x for k, w in enumerate(common[10:40]) for x in ([w, "added"] if k % 6 == 4 else [w])], 8: changed(items[6][20:56]),
+    }
+    found = leaks.leaks(leaks.leaked_spans(spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], DOCS), bench))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(d, k) for d in (1, 2, 3, 6, 7) for k in range(6)] + [(8, 6)]
+
+
+def test_whole_phrases_is_a_lower_bound():
+    """No passages with a sixth of their words changed leave fewer phrases whole than what is asked for."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        size = rng.randint(17, 150)
+        held = max(5, -(-3 * size // 10))
+        first = rng.choice([held, *range(5, held - 4)])
+        left = []
+        for p in (first, held - first):
+            changed = {rng.randint(0, 2) + 3 * k for k in rng.sample(range(p // 3), p // 6)}
+            left.append(sum(changed.isdisjoint(range(a, a + 3)) for a in range(p - 2)))
+        more, both = leaks.whole_phrases(size)
+        assert max(left) >= more and sum(left) >= both and (first == held or min(left) >= leaks.other_passage(size, max(left)))
+
+
 def test_prepared_items(spark):
     lead, end = "a b c d e".split(), "what do you see there".split()
     words = {k: lead + item(k, 12) + end for k in range(5)} | {9: "one two".split(), 10: [], 11: lead + end}
